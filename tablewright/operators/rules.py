@@ -26,6 +26,11 @@ REPLY_KINDS = {
 }
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """Fixed-point text, rounded on the exact binary value as printf does."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits))
+
+
 def triage(catalogue: DataFrame) -> DataFrame:
     """Route each dataset row (confidence, num_rows, num_columns) by both rule sets."""
     confidence = F.coalesce(F.col("confidence"), F.lit(0.0))
@@ -50,7 +55,7 @@ def review(runs: DataFrame, importances: DataFrame, iteration: Column, max_itera
            .select(run, (-F.col("t.neg")).alias("max_importance"), F.col("t.feature").alias("top_feature")))
     train, test = F.col("train_score"), F.col("test_score")
     largest = F.coalesce(F.col("max_importance"), F.lit(0.0))
-    three = lambda c: F.format_string("%.3f", c)
+    three = lambda c: fixed(c, 3)
     flags = {"overfit": train - test > 0.10, "dominated": largest > 0.50,
              "under": test < 0.85, "leak": test >= 0.999}
     out = runs.join(top, run, "left").withColumns(flags)
@@ -78,9 +83,9 @@ def best_run(runs: DataFrame, order: str = "run_id") -> DataFrame:
 
 def leaderboard(results: DataFrame) -> DataFrame:
     """Report columns of a results table (dataset, ori, mu, fitness, gap, model)."""
-    fixed = lambda c, d: F.format_string(f"%.{d}f", F.col(c))
-    return results.select("dataset", fixed("ori", 3).alias("ori"), fixed("mu", 4).alias("best_mu_cv"),
-                          fixed("fitness", 4).alias("fitness"), fixed("gap", 4).alias("gap"), "model")
+    return results.select("dataset", fixed(F.col("ori"), 3).alias("ori"),
+                          fixed(F.col("mu"), 4).alias("best_mu_cv"), fixed(F.col("fitness"), 4).alias("fitness"),
+                          fixed(F.col("gap"), 4).alias("gap"), "model")
 
 
 def trace_steps(steps: DataFrame) -> DataFrame:
