@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from catalog import profile, scoring, transform  # noqa: F401
+from catalog import learning, profile, scoring, transform  # noqa: F401
 from catalog.base import ORACLES, QUERIES  # noqa: F401

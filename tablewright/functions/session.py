@@ -43,3 +43,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Enough partitions to keep every core busy in an iterative fit; a large table is left alone."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)

@@ -61,12 +61,13 @@ def silhouette(assigned: DataFrame, columns: list[str], cluster: str = "cluster"
     mine = F.pmod(F.xxhash64("cluster", *names), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = points.withColumn("i", mine).withColumn("j", others)
-    right = points.withColumn("j", mine).withColumn("i", others)
+    right = points.select(mine.alias("j"), others.alias("i"), F.col("cluster").alias("other"),
+                          F.col("w").alias("weight"), *[F.col(x).alias(f"o{x}") for x in names])
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        codes, to = pd.factorize(b["cluster"])
+        codes, to = pd.factorize(b["other"])
         total = np.zeros((len(a), len(to)))
-        x, y, w = a[names].to_numpy(), b[names].to_numpy(), b["w"].to_numpy()
+        x, y, w = a[names].to_numpy(), b[[f"o{n}" for n in names]].to_numpy(), b["weight"].to_numpy()
         for c in range(len(to)):
             inside = codes == c
             d = np.zeros((len(a), int(inside.sum())))

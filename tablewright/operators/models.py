@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions.columns import ref, scrub_nonfinite
+from tablewright.functions.session import spread
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators import metrics as M
 from tablewright.operators.knn import knn_predict
@@ -109,7 +110,8 @@ def make_estimator(model: str, problem: str, hparams: dict, rows: int, classes:
                                   standardization=False, maxIter=hparams.get("max_iter", 1000),
                                   family="auto" if classes <= 2 else "multinomial")
     if model == "SVM" and classify:
-        single = LinearSVC(regParam=1 / (hparams.get("C", 1.0) * rows), standardization=False, maxIter=200)
+        single = LinearSVC(regParam=1 / (hparams.get("C", 1.0) * rows), standardization=False, maxIter=200,
+                           tol=1e-4)
         return single if classes <= 2 else OneVsRest(classifier=single)
     if model == "LinearRegression":
         return LinearRegression(solver="normal", regParam=0.0)
@@ -144,7 +146,7 @@ class FittedModel:
         """Adds `prediction`; for classes as the label text."""
         out = self.prep.transform(df)
         if self.expand is not None:
-            out = self.expand.transform(out)
+            out = self.expand.transform(out).withColumn("features", F.col("expanded")).drop("expanded")
         out = self.predictor.transform(out)
         kept = out.select(*[ref(c) for c in df.columns], F.col("prediction"))
         if self.labels is None:
@@ -223,7 +225,7 @@ def fit_model(train: DataFrame, target: str, problem: str, model: str, hparams:
             raise ValueError("kNN needs a key column")
         predictor = KnnModel(slim, key, problem, hparams.get("n_neighbors", 5))
         return FittedModel(model, problem, prep, predictor, labels, target)
-    slim = slim.persist()
+    slim = spread(slim).persist()
     expand = None
     if model == "SVM" and hparams.get("kernel", "linear") != "linear":
         if hparams["kernel"] == "rbf":
@@ -240,7 +242,6 @@ def fit_model(train: DataFrame, target: str, problem: str, model: str, hparams:
         predictor = make_estimator(model, problem, hparams, rows, len(labels or [])).fit(fit_on)
     if expand is not None:
         fit_on.unpersist()
-        predictor.setFeaturesCol("expanded")
     slim.unpersist()
     return FittedModel(model, problem, prep, predictor, labels, target, expand)
 
@@ -261,8 +262,11 @@ def routed_columns(profile: Profile) -> tuple[list[str], list[str]]:
 
 
 def baselines(df: DataFrame, target: str, key: str, profile: Profile | None = None,
-              trees: int = 100) -> DataFrame:
-    """(model, split, metrics..., overfitting_gap) of the linear baseline and a forest."""
+              forest: dict | None = None) -> DataFrame:
+    """(model, split, metrics..., overfitting_gap) of the linear baseline and a forest.
+
+    `forest` adds to the 100 trees of open depth, e.g. {"max_depth": 8} where time is short.
+    """
     profile = profile or Profile(df, target, key)
     problem = profile.target_type
     numeric, categorical = routed_columns(profile)
@@ -273,7 +277,7 @@ def baselines(df: DataFrame, target: str, key: str, profile: Profile | None = No
     prep = fit_prep(train, numeric, categorical)
     linear = "LogisticRegression" if problem == "classification" else "LinearRegression"
     predictions = None
-    for model, hparams in ((linear, {}), ("RandomForest", {"n_estimators": trees})):
+    for model, hparams in ((linear, {}), ("RandomForest", {"n_estimators": 100, **(forest or {})})):
         fitted = fit_model(train, target, problem, model, hparams, prep=prep)
         rows = scored(fitted, parts)
         predictions = rows if predictions is None else predictions.unionByName(rows)
@@ -290,12 +294,17 @@ def train_final(df: DataFrame, target: str, key: str, model: str, hparams: dict
     """Fit on the train part; returns the model and its (model, split, metrics...) table."""
     profile = profile or Profile(df, target, key)
     numeric, categorical = routed_columns(profile)
-    parts = profile.df if "split" in df.columns else split(
+    parts = scrub_nonfinite(df) if "split" in df.columns else split(
         profile.df, [key], target if profile.target_type == "classification" else None)
+    parts = parts.persist()
     skip = (key, "split")
     fitted = fit_model(parts.where("split = 'train'"), target, profile.target_type, model, hparams,
                        [c for c in numeric if c not in skip], [c for c in categorical if c not in skip], key)
-    return fitted, M.metrics(scored(fitted, parts), profile.target_type, by=("model", "split"))
+    table = M.metrics(scored(fitted, parts), profile.target_type, by=("model", "split"))
+    result = small_table(df.sparkSession, table.collect(), table.schema)  # two metric rows
+    if model != "KNN":  # a kNN model keeps reading its training rows
+        parts.unpersist()
+    return fitted, result
 
 
 def top_importances(importances: DataFrame, k: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import as_double, families, ref
+from tablewright.functions.session import spread
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators import metrics as M
 from tablewright.operators.models import KnnModel, index_labels, make_estimator
@@ -231,7 +232,8 @@ class Search:
             self.classes = len(labels)
         else:
             slim = slim.withColumn("label", F.col("_y").cast("double"))
-        self.table = folds(slim.drop("_y"), [key], "label" if problem == "classification" else None, k).persist()
+        cut = folds(slim.drop("_y"), [key], "label" if problem == "classification" else None, k)
+        self.table = spread(cut, key).persist()
         self.rows = self.table.count()
         self.parts = [(self.table.where(F.col("fold") != f), self.table.where(F.col("fold") == f))
                       for f in range(k)] + [(self.table, self.table)]
