@@ -17,7 +17,8 @@ from tablewright.functions.tables import half_up, small_table
 from tablewright.operators.density import dbscan
 from tablewright.operators.prep import SEED, fit_numeric
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
+CHUNK_ROWS = 512
 
 
 def clustering_input(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
@@ -57,7 +58,11 @@ def silhouette(assigned: DataFrame, columns: list[str], cluster: str = "cluster"
     points = assigned.groupBy(
         ref(cluster).alias("cluster"), *[ref(c).cast("double").alias(x) for c, x in zip(columns, names)]
     ).agg(F.count("*").alias("w")).persist()
-    blocks = max(1, math.ceil(points.count() / block_rows))
+    count = points.count()
+    # Blocks x blocks tasks: enough to use every core, each within the block size.
+    cores = assigned.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(count / block_rows),
+                 min(math.ceil(math.sqrt(cores)), math.ceil(count / CHUNK_ROWS)))
     mine = F.pmod(F.xxhash64("cluster", *names), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = points.withColumn("i", mine).withColumn("j", others)
@@ -68,12 +73,13 @@ def silhouette(assigned: DataFrame, columns: list[str], cluster: str = "cluster"
         codes, to = pd.factorize(b["other"])
         total = np.zeros((len(a), len(to)))
         x, y, w = a[names].to_numpy(), b[[f"o{n}" for n in names]].to_numpy(), b["weight"].to_numpy()
-        for c in range(len(to)):
-            inside = codes == c
-            d = np.zeros((len(a), int(inside.sum())))
+        member = (codes[:, None] == np.arange(len(to))) * w[:, None].astype("float64")
+        for start in range(0, len(a), CHUNK_ROWS):
+            part = x[start:start + CHUNK_ROWS]
+            d = np.zeros((len(part), len(y)))
             for m in range(len(names)):
-                d += (x[:, m, None] - y[None, inside, m]) ** 2
-            total[:, c] = np.sqrt(d) @ w[inside]
+                d += (part[:, m, None] - y[None, :, m]) ** 2
+            total[start:start + CHUNK_ROWS] = np.sqrt(d) @ member
         at = np.repeat(np.arange(len(a)), len(to))
         out = a.iloc[at][["cluster", *names, "w"]].reset_index(drop=True)
         return out.assign(other=np.tile(np.asarray(to), len(a)), total=total.ravel())

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.operators.prep import key_hash
 
-PIVOTS = 64
-BLOCK_ROWS = 2048
+PIVOTS = (64, 1024)
+BLOCK_ROWS = 8192
+CHUNK_ROWS = 512
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,18 +38,23 @@ def _best(queries: pd.DataFrame, train: pd.DataFrame, k: int) -> pd.DataFrame:
     if queries.empty or train.empty:
         return pd.DataFrame({"q": queries["q"].iloc[:0], "t": train["t"].iloc[:0],
                              "distance": np.zeros(0)})
-    a, b = _matrix(queries["v"]), _matrix(train["v"])
-    aa, bb = (a * a).sum(1), (b * b).sum(1)
-    rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
-    kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-    # The product form is only rough; the slack covers its rounding before the exact pass.
-    slack = 1e-9 * (aa.max() + bb.max() + 1e-300)
-    i, j = np.nonzero(rough <= (kth + slack)[:, None])
-    exact = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
-    found = pd.DataFrame({"q": queries["q"].to_numpy()[i], "t": train["t"].to_numpy()[j],
-                          "distance": exact})
-    found = found.sort_values(columns[:1] + ["distance", "t"], kind="stable")
-    return found.groupby("q", sort=False).head(k)[columns]
+    b, t = _matrix(train["v"]), train["t"].to_numpy()
+    bb, last = (b * b).sum(1), min(k, len(b)) - 1
+    out = []
+    for start in range(0, len(queries), CHUNK_ROWS):
+        part = queries.iloc[start:start + CHUNK_ROWS]
+        a = _matrix(part["v"])
+        aa = (a * a).sum(1)
+        rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+        kth = np.partition(rough, last, axis=1)[:, last]
+        # The product form is only rough; the slack covers its rounding before the exact pass.
+        slack = 1e-9 * (aa.max() + bb.max() + 1e-300)
+        i, j = np.nonzero(rough <= (kth + slack)[:, None])
+        exact = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
+        found = pd.DataFrame({"q": part["q"].to_numpy()[i], "t": t[j], "distance": exact})
+        found = found.sort_values(["q", "distance", "t"], kind="stable")
+        out.append(found.groupby("q", sort=False).head(k)[columns])
+    return pd.concat(out)
 
 
 def _summaries(train: DataFrame, k: int, pivots: int):
@@ -74,8 +80,11 @@ def _summaries(train: DataFrame, k: int, pivots: int):
 
 
 def knn_join(queries: DataFrame, train: DataFrame, query_key: str, train_key: str, vector: str,
-             k: int = 5, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_key, neighbour, distance, place): the k nearest rows, ties to the smaller key."""
+             k: int = 5, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_key, neighbour, distance, place): the k nearest rows, ties to the smaller key.
+
+    The number of pivots grows with the root of the training rows unless given.
+    """
     vector_type = "array<double>"
     base = train.select(F.col(train_key).alias("t"), F.col(vector).cast(vector_type).alias("v"))
     copy = F.row_number().over(Window.partitionBy("v").orderBy("t"))
@@ -83,6 +92,8 @@ def knn_join(queries: DataFrame, train: DataFrame, query_key: str, train_key: st
     asked = queries.select(F.col(query_key).alias("key"), F.col(vector).cast(vector_type).alias("v"))
     distinct = asked.groupBy("v").agg(F.min("key").alias("q"))
 
+    if pivots is None:
+        pivots = min(max(math.isqrt(train.count()), PIVOTS[0]), PIVOTS[1])
     centres, placed, sizes, close = _summaries(base, k, pivots)
     if not len(centres):
         raise ValueError("no training rows")

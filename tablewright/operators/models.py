@@ -28,6 +28,8 @@ from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
 # Depth a tree without a depth limit gets.
 OPEN_DEPTH = 20
+# The indexer keeps a column's categories on the driver.
+MAX_CATEGORIES = 100_000
 TREE_MODELS = ("RandomForest", "DecisionTree", "GradientBoosting")
 
 
@@ -48,6 +50,11 @@ def fit_prep(df: DataFrame, numeric: list[str], categorical: list[str]) -> Pipel
     fitted = fit_numeric(df, numeric)
     modes = column_modes(df, categorical)
     categorical = [c for c in categorical if modes[c] is not None]
+    if categorical:
+        sizes = df.agg(*[F.approx_count_distinct(ref(c)).alias(f"a{i}") for i, c in enumerate(categorical)]).first()
+        wide = [c for c, n in zip(categorical, sizes) if n > MAX_CATEGORIES]
+        if wide:
+            raise ValueError(f"over {MAX_CATEGORIES} categories in {wide}; leave these columns out")
     parts = []
     for c in numeric:
         x = f"cast({_name(c)} as double)"
