@@ -28,6 +28,8 @@ from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
 # Depth a tree without a depth limit gets.
 OPEN_DEPTH = 20
+# One-against-the-rest fits that run side by side.
+FITS_AT_ONCE = 4
 # The indexer keeps a column's categories on the driver.
 MAX_CATEGORIES = 100_000
 TREE_MODELS = ("RandomForest", "DecisionTree", "GradientBoosting")
@@ -111,15 +113,15 @@ def make_estimator(model: str, problem: str, hparams: dict, rows: int, classes:
         if not classify:
             return GBTRegressor(**boost)
         single = GBTClassifier(**boost)
-        return single if classes <= 2 else OneVsRest(classifier=single)
+        return single if classes <= 2 else OneVsRest(classifier=single, parallelism=FITS_AT_ONCE)
     if model == "LogisticRegression":
         return LogisticRegression(regParam=1 / (hparams.get("C", 1.0) * rows), elasticNetParam=0.0,
                                   standardization=False, maxIter=hparams.get("max_iter", 1000),
                                   family="auto" if classes <= 2 else "multinomial")
     if model == "SVM" and classify:
-        single = LinearSVC(regParam=1 / (hparams.get("C", 1.0) * rows), standardization=False, maxIter=200,
-                           tol=1e-4)
-        return single if classes <= 2 else OneVsRest(classifier=single)
+        single = LinearSVC(regParam=1 / (hparams.get("C", 1.0) * rows), standardization=False, maxIter=100,
+                           tol=1e-3)
+        return single if classes <= 2 else OneVsRest(classifier=single, parallelism=FITS_AT_ONCE)
     if model == "LinearRegression":
         return LinearRegression(solver="normal", regParam=0.0)
     raise ValueError(f"no {problem} estimator named {model!r}")
