@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import VIEWS, load, query
 from catalog.profile import rounded
-from catalog.transform import hash_sql, scaled_sql
+from catalog.transform import PRIORITIES, hash_sql, scaled_sql
 from tablewright.functions.session import shared_path
 from tablewright.operators import cluster as C
 from tablewright.operators import knn as K
@@ -108,6 +109,24 @@ def _(spark, sf):
     return fitted(spark, sf, "classification", "KNN", {"n_neighbors": 5})[1]
 
 
+# E5
+
+
+def _prepared_sql():
+    inner = scaled_sql("planted", KEY, NUMERIC)
+    flags = ", ".join(f"cast(seg = '{v}' as int)::double as \"cat__seg_{v}\"" for v in PRIORITIES)
+    return f"select * from ({inner}) z join (select o_orderkey, {flags} from ({VIEWS['planted']}) p) c using (o_orderkey)"
+
+
+@query("prepared_features", _prepared_sql())
+def _(spark, sf):
+    df = load(spark, sf, "planted")
+    prep = G.fit_prep(df, NUMERIC, ["seg"])
+    values = vector_to_array("features")
+    return prep.transform(df).select(KEY, *[(F.round(values[i], 6) + F.lit(0.0)).alias(n)
+                                            for i, n in enumerate(G.feature_names(prep))])
+
+
 # G10-G14, A5
 
 @query("baselines_classification")
