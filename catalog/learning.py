@@ -297,9 +297,10 @@ def _(spark, sf):
       m as (select d.id, d.cluster, max(size) filter (where d.cluster = other) as own,
         max(total / nullif(size - 1, 0)) filter (where d.cluster = other) as a,
         min(total / size) filter (where d.cluster <> other) as b from d join s on s.cluster = other group by 1, 2)
-    select round(avg(case when own = 1 then 0 else (b - a) / greatest(a, b) end), 4) as silhouette,
-      (select count(distinct cluster) from found) as num_clusters,
-      (select count(*) from found where kind = 'noise') as noise_points from m""")
+    , r as (select avg(case when own = 1 then 0 else (b - a) / greatest(a, b) end) as score,
+        (select count(distinct cluster) from found) as nc, (select count(*) from found where kind = 'noise') as nz from m)
+    select case when nc + least(nz, 1) > 1 and (nc + least(nz, 1) > 2 or nz = 0) then round(score, 4)
+      else cast(0 as double) end as silhouette, nc as num_clusters, nz as noise_points from r""")
 def _(spark, sf):
     return C.dbscan_summary(points2d(spark, sf), "id", ["x", "y"], 0.1, 5)
 

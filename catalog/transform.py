@@ -206,7 +206,7 @@ def _(spark, sf):
     return df.select("event_id", *[(F.round(f"num__{c}", 6) + F.lit(0.0)).alias(f"num__{c}") for c in names])
 
 
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-LOW", "5-NOT SPECIFIED")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 @query("one_hot", """select o_orderkey, coalesce(cast(o_orderstatus = 'F' as int), 0) as "cat__o_orderstatus_F",
