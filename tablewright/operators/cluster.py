@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.columns import numeric_columns, ref
+from tablewright.functions.session import cut_lineage
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators.density import dbscan
 from tablewright.operators.prep import SEED, fit_numeric
@@ -55,9 +56,9 @@ def silhouette(assigned: DataFrame, columns: list[str], cluster: str = "cluster"
     returns distance sums per row and cluster, never pairs.
     """
     names = [f"x{i}" for i in range(len(columns))]
-    points = assigned.groupBy(
+    points = cut_lineage(assigned.groupBy(
         ref(cluster).alias("cluster"), *[ref(c).cast("double").alias(x) for c, x in zip(columns, names)]
-    ).agg(F.count("*").alias("w")).persist()
+    ).agg(F.count("*").alias("w")))
     count = points.count()
     # Blocks x blocks tasks: enough to use every core, each within the block size.
     cores = assigned.sparkSession.sparkContext.defaultParallelism

@@ -35,6 +35,14 @@ MAX_CATEGORIES = 100_000
 TREE_MODELS = ("RandomForest", "DecisionTree", "GradientBoosting")
 
 
+# Stands for a dot, which the ML stages would read as a nested field.
+DOT = "\u2024"
+
+
+def _slot(prefix: str, column: str) -> str:
+    return prefix + column.replace(".", DOT)
+
+
 def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
@@ -64,20 +72,20 @@ def fit_prep(df: DataFrame, numeric: list[str], categorical: list[str]) -> Pipel
         median = fitted.medians[c]
         filled = f"coalesce({clean}, {_number(0.0 if median is None else median)})"
         parts.append(f"({filled} - {_number(fitted.means[c])}) / {_number(fitted.scales[c])} "
-                     f"as {_name('num__' + c)}")
+                     f"as {_name(_slot('num__', c))}")
     for c in categorical:
         parts.append(f"coalesce(cast({_name(c)} as string), {_text(str(modes[c]))}) "
-                     f"as {_name('fill__' + c)}")
+                     f"as {_name(_slot('fill__', c))}")
     stages = [SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__")]
-    inputs = [f"num__{c}" for c in numeric]
+    inputs = [_slot("num__", c) for c in numeric]
     if categorical:
         stages += [
-            StringIndexer(inputCols=[f"fill__{c}" for c in categorical],
-                          outputCols=[f"idx__{c}" for c in categorical],
+            StringIndexer(inputCols=[_slot("fill__", c) for c in categorical],
+                          outputCols=[_slot("idx__", c) for c in categorical],
                           stringOrderType="alphabetAsc", handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"idx__{c}" for c in categorical],
-                          outputCols=[f"cat__{c}" for c in categorical], dropLast=True)]
-        inputs += [f"cat__{c}" for c in categorical]
+            OneHotEncoder(inputCols=[_slot("idx__", c) for c in categorical],
+                          outputCols=[_slot("cat__", c) for c in categorical], dropLast=True)]
+        inputs += [_slot("cat__", c) for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return Pipeline(stages=stages).fit(df)
 
@@ -90,7 +98,8 @@ def feature_names(prep: PipelineModel) -> list[str]:
         labels.update(zip((c.replace("idx__", "cat__", 1) for c in s.getOutputCols()), s.labelsArray))
     out = []
     for c in prep.stages[-1].getInputCols():
-        out += [f"{c}_{v}" for v in labels[c]] if c in labels else [c]
+        name = c.replace(DOT, ".")
+        out += [f"{name}_{v}" for v in labels[c]] if c in labels else [name]
     return out
 
 

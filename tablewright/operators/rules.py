@@ -26,6 +26,17 @@ REPLY_KINDS = {
 }
 
 
+# Limits and issue texts of the review.
+OVERFIT_GAP, DOMINANT_SHARE, LOW_SCORE, LEAK_SCORE = 0.10, 0.50, 0.85, 0.999
+ISSUE_TEXTS = {
+    "overfit": "OVERFITTING DETECTED (Train %s vs Test %s).",
+    "dominated": "FEATURE DOMINANCE DETECTED ('%s' contributes %s!).",
+    "under": "UNDERPERFORMING (Test score %s < 0.85 Target).",
+    "leak": "DATA LEAKAGE DETECTED (Test score %s >= 0.999 is suspiciously perfect. "
+            "A feature is likely leaking the target variable).",
+}
+
+
 def fixed(number: Column, digits: int) -> Column:
     """Fixed-point text, rounded on the exact binary value as printf does."""
     return F.call_function("format_number", number, F.lit("0." + "0" * digits))
@@ -56,20 +67,13 @@ def review(runs: DataFrame, importances: DataFrame, iteration: Column, max_itera
     train, test = F.col("train_score"), F.col("test_score")
     largest = F.coalesce(F.col("max_importance"), F.lit(0.0))
     three = lambda c: fixed(c, 3)
-    flags = {"overfit": train - test > 0.10, "dominated": largest > 0.50,
-             "under": test < 0.85, "leak": test >= 0.999}
+    flags = {"overfit": train - test > OVERFIT_GAP, "dominated": largest > DOMINANT_SHARE,
+             "under": test < LOW_SCORE, "leak": test >= LEAK_SCORE}
     out = runs.join(top, run, "left").withColumns(flags)
-    issues = F.concat_ws(
-        " ",
-        F.when(F.col("overfit"), F.concat(F.lit("OVERFITTING DETECTED (Train "), three(train),
-                                          F.lit(" vs Test "), three(test), F.lit(")."))),
-        F.when(F.col("dominated"), F.concat(F.lit("FEATURE DOMINANCE DETECTED ('"), "top_feature",
-                                            F.lit("' contributes "), three(largest), F.lit("!)."))),
-        F.when(F.col("under") & ~F.col("overfit"),
-               F.concat(F.lit("UNDERPERFORMING (Test score "), three(test), F.lit(" < 0.85 Target)."))),
-        F.when(F.col("leak"), F.concat(
-            F.lit("DATA LEAKAGE DETECTED (Test score "), three(test),
-            F.lit(" >= 0.999 is suspiciously perfect. A feature is likely leaking the target variable)."))))
+    said = {"overfit": [three(train), three(test)], "dominated": [F.col("top_feature"), three(largest)],
+            "under": [three(test)], "leak": [three(test)]}
+    shown = {f: F.col(f) for f in flags} | {"under": F.col("under") & ~F.col("overfit")}
+    issues = F.concat_ws(" ", *[F.when(shown[f], F.format_string(ISSUE_TEXTS[f], *said[f])) for f in flags])
     wanting = F.col("overfit") | F.col("dominated") | F.col("under") | F.col("leak")
     done = ~wanting | (iteration >= max_iterations)
     return out.withColumns({"status": F.when(done, "satisfied").otherwise("retry"),

@@ -37,6 +37,14 @@ def test_router_and_names(signal):
     assert vector[2:].tolist() == [0.0, 0.0] and np.isfinite(vector).all()
 
 
+def test_dotted_column_names(spark):
+    df = spark.createDataFrame([(i, float(i), "ab"[i % 2], 2.0 * i) for i in range(20)],
+                               "id long, `x.y` double, `s.t` string, target double")
+    fitted = G.fit_model(df, "target", "regression", "LinearRegression", numeric=["x.y"], categorical=["s.t"])
+    assert G.feature_names(fitted.prep) == ["num__x.y", "cat__s.t_a", "cat__s.t_b"]
+    assert abs(fitted.transform(df).where("id = 7").first()["prediction"] - 14.0) < 1e-6
+
+
 def test_linear_regression_matches_least_squares(signal):
     fitted = G.fit_model(signal, "y", "regression", "LinearRegression", numeric=["a", "b", "c"])
     rows = [r["features"].toArray() for r in fitted.prep.transform(signal).orderBy("id").collect()]
