@@ -21,3 +21,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_row_per_key(df: DataFrame) -> DataFrame:
+    """Rows (key, payload...) as they are when no key repeats, else the smallest payload of each key; null keys stay."""
+    repeated = df.filter("key is not null").groupBy("key").count().filter("count > 1")
+    if repeated.isEmpty():
+        return df
+    least = [F.min(F.struct(*[c for c in df.columns if c != "key"])).alias("row")]
+    unique = df.filter("key is not null").groupBy("key").agg(*least).select("key", "row.*")
+    return unique.unionByName(df.filter("key is null"))

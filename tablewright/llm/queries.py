@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
+from tablewright.llm.mainline import main_texts
+from tablewright.llm.neardup import near_duplicates
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -52,5 +54,28 @@ def _quality_sql():
     select *, not base_failed and not ({' or '.join(bad)}) as kept from b"""
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": _quality_sql()}
+def op2_minhash_near_dedup(spark, folder):
+    return near_duplicates(load(spark, folder, "documents"), shingle=3, percent=85)
+
+
+NEAR_SQL = f"""with recursive
+    d as (select doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+    s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end) as g from d),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+    r as (select doc_id, doc_id as root from documents
+      union select f.b, r.root from r join (select a, b from e union all select b, a from e) f on f.a = r.doc_id),
+    m as (select doc_id, min(root) as component_id from r group by doc_id)
+    select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+    from m left join n using (doc_id)"""
+
+
+def op9_html_extraction(spark, folder):
+    return main_texts(load(spark, folder, "pages"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_near_dedup": op2_minhash_near_dedup,
+           "op9_html_extraction": op9_html_extraction}
+ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL}
