@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -12,11 +14,13 @@ from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix
 
 BANDS, ROWS = 40, 6
 # A pair whose signatures agree in this much less than the threshold is not compared; over five standard errors.
-SLACK = 0.17
-# Rows of one centre that a task of the comparison takes.
+SLACK = 0.13
+# Rows of one pivot that a task of the comparison takes.
 SALT_ROWS = 500
-
-_RANDOM = np.random.default_rng(97)
+# Documents farther from their pivot than FAR get another one, with those that could be linked to them.
+FAR = 0.4
+# Pivots a document can have before what is left open is joined on whole sets.
+ROUNDS = 2
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,38 +107,142 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) ->
     return sided.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets reach the threshold; a frequent b is spread over several tasks."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts, ordered by b; a frequent b is spread over several tasks."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
     salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    centres = (salts.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    sided = (salted.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-             .join(centres.select("b", "salt", "tb"), ["b", "salt"]))
+    pivots = (salts.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return (salted.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+            .join(pivots.select("b", "salt", "tb"), ["b", "salt"]).select("a", "b", "ta", "tb"))
+
 
+def _sets_of(batch, size: int):
+    """(row, set of a, sorted set of b, places of a's shingles in b) of every row of a batch."""
     def whole(column):
         for _, block in blocks(column, lower=True):
             hashes, of = shingles(block, size)
             ends = np.cumsum(np.bincount(of, minlength=block.n)) if len(of) else np.zeros(block.n, dtype=np.int64)
             yield from np.split(hashes, ends[:-1])
 
+    b = batch.column("b").to_numpy()
+    fresh = np.ones(len(b), dtype=bool)
+    fresh[1:] = b[1:] != b[:-1]
+    pivots, pivot = whole(batch.column("tb").filter(pa.array(fresh))), None
+    for i, own in enumerate(whole(batch.column("ta"))):
+        if fresh[i]:
+            pivot = np.sort(next(pivots))
+        yield i, own, pivot, np.minimum(np.searchsorted(pivot, own), max(0, len(pivot) - 1))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole shingle sets reach the threshold."""
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, own, other, place in _sets_of(batch, size):
+                common = int((other[place] == own).sum())
+                keep[i] = 100 * common >= percent * (len(own) + len(other) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Each document a against its pivot b: linked, distance, and how many shingles only one has; within FAR also
+    which (by 64-bit hash), and how many of them any link of a has to share with the other document's (`least`).
+
+    With c the pivot and D(x) the shingles in only one of x and c, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|
+    shingles, and are linked when that is at most r (|x| + |y|) for r = (1 - s) / (1 + s). As |y| <= |x| / s, a link
+    shares at least |D(x)| - r (1 + 1 / s) |x| of D(x). If y is not linked to c, it shares more than (1 - r) |D(x)| / 2.
+    """
+    s = percent / 100
+    r = (1 - s) / (1 + s)
+
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b").to_numpy()
-            fresh = np.ones(len(b), dtype=bool)
-            fresh[1:] = b[1:] != b[:-1]
-            centre, centres_of = None, whole(batch.column("tb").filter(pa.array(fresh)))
-            keep = np.zeros(len(b), dtype=bool)
-            for i, other in enumerate(whole(batch.column("ta"))):
-                if fresh[i]:
-                    centre = np.sort(next(centres_of))
-                if len(centre) and len(other):
-                    place = np.minimum(np.searchsorted(centre, other), len(centre) - 1)
-                    common = int((centre[place] == other).sum())
-                    keep[i] = common > 0 and 100 * common >= percent * (len(centre) + len(other) - common)
-            yield pa.RecordBatch.from_arrays([a, batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    return sided.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+            linked, distance, least, tokens, ends = [], [], [], [], [0]
+            for _, own, other, place in _sets_of(batch, size):
+                shared = other[place] == own
+                common = int(shared.sum())
+                union = len(own) + len(other) - common
+                linked.append(100 * common >= percent * union)
+                distance.append(1 - common / union)
+                bound, extra = 1, 0
+                if distance[-1] <= FAR:
+                    missing = np.ones(len(other), dtype=bool)
+                    missing[place[shared]] = False
+                    only = np.concatenate([own[~shared], other[missing]])
+                    tokens.append(only)
+                    extra = len(only)
+                    bound = max(1, int(np.ceil(extra - r * (1 + 1 / s) * len(own) - 1e-6)))
+                    if linked[-1]:
+                        bound = max(bound, int(np.ceil((1 - r) * extra / 2 - 1e-6)))
+                ends.append(ends[-1] + extra)
+                least.append(bound)
+            values = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), pa.array(least, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["a", "b", "linked", "distance", "least", "only"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, distance double, least long, only array<long>")
+
+
+def _unmeasured(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same columns for documents without a pivot (as if it were empty): b is their group, `only` the whole set."""
+    s = percent / 100
+    r = (1 - s) / (1 + s)
+
+    def run(batches):
+        for batch in batches:
+            for first, block in blocks(batch.column("text"), lower=True):
+                hashes, of = shingles(block, size)
+                n = np.bincount(of, minlength=block.n) if len(of) else np.zeros(block.n, dtype=np.int64)
+                least = np.maximum(1, np.ceil(n - r * (1 + 1 / s) * n - 1e-6)).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                part = batch.slice(first, block.n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), pa.array(np.zeros(block.n, dtype=bool)), pa.array(np.zeros(block.n)), pa.array(least),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["a", "b", "linked", "distance", "least", "only"])
+
+    return (members.join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text")
+            .mapInArrow(run, "a long, b long, linked boolean, distance double, least long, only array<long>"))
+
+
+def _differing_alike(measured: DataFrame) -> DataFrame:
+    """Pairs (a, b) with one pivot, not both linked to it, that may be linked: they share one of the rarest of the
+    shingles by which they differ from the pivot (a prefix filter)."""
+    open_pivots = measured.filter("distance <= %s" % FAR).groupBy("b").agg(
+        F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("free")).filter("n > 1 and free > 0").select("b")
+    members = measured.filter("distance <= %s" % FAR).join(open_pivots, "b").select("a", "b", "linked", "least", F.size("only").alias("size"), "only")
+    members = stored(members, "members")
+    tokens = members.select("a", "b", F.explode("only").alias("token"))
+    often = tokens.groupBy("b", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    common = tokens.join(often, ["b", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("common"))
+    room = F.col("size") - F.col("least") + 1 - (F.col("size") - F.size("common"))
+    prefix = (members.drop("only").join(common, ["a", "b"]).withColumn("room", room).filter("room > 0")
+              .select("a", "b", "linked", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("t"))
+              .select("a", "b", "linked", F.col("t.token").alias("token")))
+    prefix = stored(prefix, "prefixes")
+    x = prefix.filter("not linked").select("b", "token", F.col("a").alias("x"))
+    y = prefix.select("b", "token", F.col("a").alias("y"), "linked")
+    return (x.join(y, ["b", "token"]).filter("linked or x > y")
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
+def _groups(entries: DataFrame) -> DataFrame:
+    """(node, component) of the documents that hang together by buckets."""
+    centres = entries.groupBy("bucket").agg(F.min("key").alias("centre"))
+    return components(entries.join(centres, "bucket").filter("key <> centre").select("key", "centre").distinct(), "key", "centre")
+
+
+def _pivots(entries: DataFrame) -> DataFrame:
+    """(a, b): every document of a group that hangs together by buckets, and the one whose buckets hold most."""
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = entries.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("weight")).withColumnRenamed("key", "a")
+    members = stored(_groups(entries).select(F.col("node").alias("a"), "component").join(weights, "a"), "groups")
+    chosen = members.groupBy("component").agg((-F.max(F.struct("weight", (-F.col("a")).alias("a")))["a"]).alias("b"))
+    return members.join(chosen, "component").filter("a <> b").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
@@ -147,15 +255,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     missed with probability (1 - s ** rows) ** bands, 5e-6 at 0.8 and 1e-10 at 0.85. Each candidate is first
     judged by its signatures, then on the whole sets.
 
-    Large groups: first every document is compared with one centre, the smallest key of the bucket it shares most
-    often; the components of these links are found; only documents of different components that still share a
-    bucket are compared pair by pair.
+    Large groups: all documents that hang together by shared buckets are compared with one pivot, the one that
+    shares most. Only those that it doesn't link are compared further, with documents that differ from the pivot
+    in the same shingles; a prefix filter on the rarest of these loses no link. Documents far from the pivot get
+    another one; what is open after ROUNDS pivots goes through the same filter with its whole sets.
 
     A null or empty text has no shingles and its own component. Rows with a null key come back with a null
     component and kept true. Rows that repeat a key are one document with the smallest text. Keys are whole
     numbers. An empty table gives an empty result. Memory of a task follows the longest text.
     """
-    spark = df.sparkSession
     documents = one_row_per_key(df.select(quoted(key).cast("long").alias("key"), quoted(text).alias("text")))
     signed = stored(signatures(documents, shingle, bands, rows), "signatures")
     sets = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
@@ -164,31 +272,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     marks = reps.select("key", "n_shingles", "marks")
 
     entries = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    entries = stored(entries.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-
-    star = (entries.filter("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("n"))
-            .groupBy("key").agg(F.max(F.struct("n", -F.col("centre"))).alias("best"))
-            .select(F.col("key").alias("a"), (-F.col("best")["col2"]).alias("b")))
-    wanted = entries.select("key").distinct()
-    texts = stored(documents.join(wanted, "key", "left_semi"), "texts")
-    links = stored(_confirmed(_agreeing(star, marks, bands * rows, percent), texts, shingle, percent), "links")
-    found = stored(components(links, "a", "b"), "components")
-
-    placed = entries.select("key", "bucket").join(found.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", F.coalesce("component", "key").alias("component"))
-    open_buckets = (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                    .filter("low < high").select("bucket"))
-    rest = stored(placed.join(open_buckets, "bucket"), "rest")
-    across = (rest.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"))
-              .join(rest.select("bucket", F.col("key").alias("a"), F.col("component").alias("ca")), "bucket")
-              .filter("a > b and ca <> cb").select("a", "b").distinct())
-    more = stored(_confirmed(_agreeing(across, marks, bands * rows, percent), texts, shingle, percent), "links")
-    if not more.isEmpty():
-        merged = (more.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                  .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                  .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        found = stored(components(merged.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "components")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    entries = stored(entries.join(shared.select("bucket"), "bucket"), "buckets")
+    texts = stored(documents.join(entries.select("key").distinct(), "key", "left_semi"), "texts")
+    agree = bands * rows
+
+    links = []
+    for _ in range(ROUNDS):
+        if entries.isEmpty():
+            break
+        pivots = _pivots(entries)
+        measured = stored(_measured(pivots, texts, shingle, percent), "measured")
+        alike = _agreeing(_differing_alike(measured), marks, agree, percent)
+        links += [measured.filter("linked").select("a", "b"), stored(_confirmed(alike, texts, shingle, percent), "links")]
+        reach = measured.filter(f"distance > {FAR - (1 - percent / 100) - 1e-9}").select(F.col("a").alias("key"), (F.col("distance") > FAR).alias("far"))
+        left = entries.join(reach, "key")
+        wanted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max("far").alias("far")).filter("n > 1 and far").select("bucket")
+        entries = stored(left.select("key", "bucket").join(wanted, "bucket"), "buckets")
+    groups = _groups(entries).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    alike = _differing_alike(_unmeasured(groups, texts, shingle, percent))
+    links.append(_confirmed(_agreeing(alike, marks, agree, percent), texts, shingle, percent))
+    found = components(reduce(DataFrame.unionByName, links), "a", "b")
 
     classes = (sets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
                .select("s1", "s2", F.coalesce("component", "rep").alias("component")))
