@@ -6,6 +6,7 @@ from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.neardup import near_duplicates
+from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -72,10 +73,17 @@ NEAR_SQL = f"""with recursive
     from m left join n using (doc_id)"""
 
 
+def op4_toxicity(spark, folder):
+    documents = load(spark, folder, "documents")
+    labels = load(spark, folder, "labels").select("doc_id", "toxic").filter(~held_out())
+    scored = score_toxicity(documents, fit_toxicity(documents, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_html_extraction(spark, folder):
     return main_texts(load(spark, folder, "pages"))
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_near_dedup": op2_minhash_near_dedup,
-           "op9_html_extraction": op9_html_extraction}
+           "op4_toxicity": op4_toxicity, "op9_html_extraction": op9_html_extraction}
 ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL}
