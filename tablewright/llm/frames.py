@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewright.functions.session import shared_path
+from tablewright.functions.session import BROADCAST_ROWS, shared_path
 
 
 def quoted(name: str) -> Column:
@@ -31,3 +31,8 @@ def one_row_per_key(df: DataFrame) -> DataFrame:
     least = [F.min(F.struct(*[c for c in df.columns if c != "key"])).alias("row")]
     unique = df.filter("key is not null").groupBy("key").agg(*least).select("key", "row.*")
     return unique.unionByName(df.filter("key is null"))
+
+
+def small_or_not(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is counted to have at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
 from tablewright.llm.mainline import main_texts
+from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -80,10 +81,34 @@ def op4_toxicity(spark, folder):
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_source_mixing(spark, folder):
+    return mixed_documents(load(spark, folder, "documents"))
+
+
+MIX_SQL = f"""with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
+    s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as i from d group by source),
+    s1 as (select *, [3.0::double, 1.0, 2.0][(i % 3 + 1)::int] as weight, 2.0::double * source_size as cap from s0),
+    s2 as (select *, cap / weight as fill from s1),
+    s3 as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
+      from s2 window w as (order by fill, source nulls last rows between unbounded preceding and 1 preceding)),
+    t as (select source, source_size, least(cap, weight * (select level from s3 where fill >= level order by fill, source nulls last limit 1)) as target from s3),
+    b0 as (select doc_id, source, size, unnest(range(0, ceil(size / {BLOCK_WORDS}.0)::bigint)) as block from d),
+    b as (select *, least({BLOCK_WORDS}, size - {BLOCK_WORDS} * block) as words,
+        ('0x' || md5(concat_ws(':', 'mix', doc_id, block))[:15])::bigint as hash from b0),
+    c as (select b.*, target, source_size, coalesce(sum(words) over (partition by b.source order by hash, doc_id, block
+        rows between unbounded preceding and 1 preceding), 0) as before from b join t on b.source is not distinct from t.source),
+    k as (select doc_id, sum(words * (floor(target / source_size) + (2 * before + words <= 2 * (target - floor(target / source_size) * source_size))::int)) as taken
+      from c group by doc_id)
+    select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
+    from d join t on d.source is not distinct from t.source left join k using (doc_id)"""
+
+
 def op9_html_extraction(spark, folder):
     return main_texts(load(spark, folder, "pages"))
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_near_dedup": op2_minhash_near_dedup,
-           "op4_toxicity": op4_toxicity, "op9_html_extraction": op9_html_extraction}
-ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL}
+           "op4_toxicity": op4_toxicity, "op7_source_mixing": op7_source_mixing,
+           "op9_html_extraction": op9_html_extraction}
+ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL,
+           "op7_source_mixing": MIX_SQL}
