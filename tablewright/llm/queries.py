@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
+from tablewright.llm.pieces import decode_ids, encode_texts
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -107,8 +110,16 @@ def op9_html_extraction(spark, folder):
     return main_texts(load(spark, folder, "pages"))
 
 
+def op10_sentencepiece(spark, folder):
+    texts = load(spark, folder, "documents").select("doc_id", "text")
+    encoded = encode_texts(texts, keep=("doc_id", "text"))
+    decoded = decode_ids(encoded, keep=("doc_id", "text", "ids", "n_tokens"))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return decoded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+
+
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_near_dedup": op2_minhash_near_dedup,
            "op4_toxicity": op4_toxicity, "op7_source_mixing": op7_source_mixing,
-           "op9_html_extraction": op9_html_extraction}
+           "op9_html_extraction": op9_html_extraction, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL,
            "op7_source_mixing": MIX_SQL}
