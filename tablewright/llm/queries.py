@@ -10,6 +10,7 @@ from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
 from tablewright.llm.pieces import decode_ids, encode_texts
+from tablewright.llm.pseudonyms import pseudonymised
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -84,6 +85,10 @@ def op4_toxicity(spark, folder):
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_pii_pseudonyms(spark, folder):
+    return pseudonymised(load(spark, folder, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 def op7_source_mixing(spark, folder):
     return mixed_documents(load(spark, folder, "documents"))
 
@@ -118,8 +123,14 @@ def op10_sentencepiece(spark, folder):
     return decoded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_minhash_near_dedup": op2_minhash_near_dedup,
-           "op4_toxicity": op4_toxicity, "op7_source_mixing": op7_source_mixing,
-           "op9_html_extraction": op9_html_extraction, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL,
            "op7_source_mixing": MIX_SQL}
