@@ -16,9 +16,18 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe when executors are lost."""
+# Rows of numbers that are worth a file of their own.
+FILE_ROWS = 500_000
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, safe when executors are lost.
+
+    With `rows`, about how many rows of a few numbers there are, it gets no more files than these need.
+    """
     path = shared_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

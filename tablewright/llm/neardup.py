@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.functions.session import BROADCAST_ROWS
 from tablewright.llm.components import components
-from tablewright.llm.frames import one_row_per_key, quoted, stored
+from tablewright.llm.frames import one_row_per_key, quoted, small_or_not, stored
 from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix
 
 BANDS, ROWS = 40, 6
@@ -17,6 +18,8 @@ BANDS, ROWS = 40, 6
 SLACK = 0.13
 # Rows of one pivot that a task of the comparison takes.
 SALT_ROWS = 500
+MEASURED = ["a", "b", "linked", "distance", "least", "total", "only"]
+MEASURED_KINDS = "a long, b long, linked boolean, distance double, least long, total long, only array<long>"
 # Documents farther from their pivot than FAR get another one, with those that could be linked to them.
 FAR = 0.4
 # Pivots a document can have before what is left open is joined on whole sets.
@@ -91,8 +94,9 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) -> DataFrame:
     """Signature verification: pairs (a, b) whose sizes allow the threshold and whose minima agree often enough."""
-    sided = (pairs.join(marks.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma")), "a")
-             .join(marks.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb")), "b")
+    first = marks.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma"))
+    second = marks.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb"))
+    sided = (first.join(small_or_not(pairs), "a").join(second, "b")
              .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     needed = (percent / 100 - SLACK) * hashes
 
@@ -108,12 +112,15 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) ->
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both texts, ordered by b; a frequent b is spread over several tasks."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
+    """Pairs (a, b) of a stored table with both texts, ordered by b; a frequent b is spread over several tasks."""
+    salts = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts")), "salts", pairs.count())
+    salts = small_or_not(salts)
     salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    pivots = (salts.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    if pairs.count() <= BROADCAST_ROWS:
+        salted = F.broadcast(salted)
+    pivots = (texts.select(F.col("key").alias("b"), F.col("text").alias("tb")).join(salts, "b")
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    return (salted.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    return (texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).join(salted, "a")
             .join(pivots.select("b", "salt", "tb"), ["b", "salt"]).select("a", "b", "ta", "tb"))
 
 
@@ -161,7 +168,7 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches):
         for batch in batches:
-            linked, distance, least, tokens, ends = [], [], [], [], [0]
+            linked, distance, least, total, tokens, ends = [], [], [], [], [], [0]
             for _, own, other, place in _sets_of(batch, size):
                 shared = other[place] == own
                 common = int(shared.sum())
@@ -180,12 +187,13 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         bound = max(bound, int(np.ceil((1 - r) * extra / 2 - 1e-6)))
                 ends.append(ends[-1] + extra)
                 least.append(bound)
+                total.append(len(own))
             values = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), pa.array(least, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["a", "b", "linked", "distance", "least", "only"])
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), pa.array(least, pa.int64()), pa.array(total, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], MEASURED)
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, distance double, least long, only array<long>")
+    return _with_texts(pairs, texts).mapInArrow(run, MEASURED_KINDS)
 
 
 def _unmeasured(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -202,32 +210,36 @@ def _unmeasured(members: DataFrame, texts: DataFrame, size: int, percent: int) -
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 part = batch.slice(first, block.n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("b"), pa.array(np.zeros(block.n, dtype=bool)), pa.array(np.zeros(block.n)), pa.array(least),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["a", "b", "linked", "distance", "least", "only"])
+                    [part.column("a"), part.column("b"), pa.array(np.zeros(block.n, dtype=bool)), pa.array(np.zeros(block.n)), pa.array(least), pa.array(n),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], MEASURED)
 
     return (members.join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text")
-            .mapInArrow(run, "a long, b long, linked boolean, distance double, least long, only array<long>"))
+            .mapInArrow(run, MEASURED_KINDS))
 
 
-def _differing_alike(measured: DataFrame) -> DataFrame:
+def _differing_alike(measured: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with one pivot, not both linked to it, that may be linked: they share one of the rarest of the
-    shingles by which they differ from the pivot (a prefix filter)."""
-    open_pivots = measured.filter("distance <= %s" % FAR).groupBy("b").agg(
+    shingles by which they differ from the pivot, so early that enough can follow (a prefix and a position filter)."""
+    near = measured.filter("distance <= %s" % FAR)
+    open_pivots = near.groupBy("b").agg(
         F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("free")).filter("n > 1 and free > 0").select("b")
-    members = measured.filter("distance <= %s" % FAR).join(open_pivots, "b").select("a", "b", "linked", "least", F.size("only").alias("size"), "only")
+    members = near.join(open_pivots, "b").withColumn("size", F.size("only"))
     members = stored(members, "members")
     tokens = members.select("a", "b", F.explode("only").alias("token"))
     often = tokens.groupBy("b", "token").agg(F.count("*").alias("n")).filter("n > 1")
     common = tokens.join(often, ["b", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("common"))
-    room = F.col("size") - F.col("least") + 1 - (F.col("size") - F.size("common"))
-    prefix = (members.drop("only").join(common, ["a", "b"]).withColumn("room", room).filter("room > 0")
-              .select("a", "b", "linked", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("t"))
-              .select("a", "b", "linked", F.col("t.token").alias("token")))
+    single = F.col("size") - F.size("common")
+    room = F.col("size") - F.col("least") + 1 - single
+    prefix = (members.drop("only").join(common, ["a", "b"]).withColumn("single", single).withColumn("room", room).filter("room > 0")
+              .select("a", "b", "linked", "size", "total", "single", F.posexplode(F.slice("common", F.lit(1), F.col("room"))).alias("place", "t"))
+              .select("a", "b", "linked", "total", "size", F.col("t.token").alias("token"), (F.col("size") - F.col("single") - F.col("place")).alias("rest")))
     prefix = stored(prefix, "prefixes")
-    x = prefix.filter("not linked").select("b", "token", F.col("a").alias("x"))
-    y = prefix.select("b", "token", F.col("a").alias("y"), "linked")
-    return (x.join(y, ["b", "token"]).filter("linked or x > y")
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    x = prefix.filter("not linked").select("b", "token", F.col("a").alias("x"), F.col("size").alias("sx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
+    y = prefix.select("b", "token", F.col("a").alias("y"), "linked", "size", "total", "rest")
+    r = (1 - percent / 100) / (1 + percent / 100)
+    enough = 2 * F.least("rx", "rest") >= F.col("sx") + F.col("size") - r * (F.col("tx") + F.col("total")) - 1e-6
+    pairs = x.join(y, ["b", "token"]).filter((F.col("linked") | (F.col("x") > F.col("y"))) & enough)
+    return stored(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "alike")
 
 
 def _groups(entries: DataFrame) -> DataFrame:
@@ -281,17 +293,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     for _ in range(ROUNDS):
         if entries.isEmpty():
             break
-        pivots = _pivots(entries)
+        pivots = stored(_pivots(entries), "pivots")
         measured = stored(_measured(pivots, texts, shingle, percent), "measured")
-        alike = _agreeing(_differing_alike(measured), marks, agree, percent)
+        alike = stored(_agreeing(_differing_alike(measured, percent), marks, agree, percent), "agreeing")
         links += [measured.filter("linked").select("a", "b"), stored(_confirmed(alike, texts, shingle, percent), "links")]
         reach = measured.filter(f"distance > {FAR - (1 - percent / 100) - 1e-9}").select(F.col("a").alias("key"), (F.col("distance") > FAR).alias("far"))
         left = entries.join(reach, "key")
         wanted = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max("far").alias("far")).filter("n > 1 and far").select("bucket")
         entries = stored(left.select("key", "bucket").join(wanted, "bucket"), "buckets")
     groups = _groups(entries).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    alike = _differing_alike(_unmeasured(groups, texts, shingle, percent))
-    links.append(_confirmed(_agreeing(alike, marks, agree, percent), texts, shingle, percent))
+    alike = _differing_alike(_unmeasured(groups, texts, shingle, percent), percent)
+    links.append(_confirmed(stored(_agreeing(alike, marks, agree, percent), "agreeing"), texts, shingle, percent))
     found = components(reduce(DataFrame.unionByName, links), "a", "b")
 
     classes = (sets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
