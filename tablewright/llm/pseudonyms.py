@@ -16,6 +16,7 @@ _MONTH = "(?:" + "|".join(MONTHS) + ")"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "credential": r"(?<=(?:password|passwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z]{8,64}+(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}(?<dash>[.-])[0-9]{3}\k<dash>[0-9]{4}(?![0-9]|[.-][0-9])",
@@ -26,7 +27,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
 # A look at the next characters first, as most places begin none; the order holds among those that begin alike.
-_BEGINNINGS = {"email": "(?=[A-Za-z0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
+_BEGINNINGS = {"email": "(?=[A-Za-z0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "credential": "(?<=[\"'=: ])(?=[0-9A-Za-z]{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
 ANY = "|".join(_BEGINNINGS.get(name, "(?=[0-9+(])") + f"(?:{pattern})" for name, pattern in PATTERNS.items())
 # Stands around each value that was found; a text that has it already is searched twice instead.
 MARK = "\uE8D4"
@@ -255,8 +256,12 @@ def _email(found: Column, key: str, back: bool) -> Column:
     return F.concat(_string(F.substring(found, F.lit(1), at - 1), "email", LETTERS, key, back), F.substring(found, at, F.length(found)))
 
 
+def _credential(found: Column, key: str, back: bool) -> Column:
+    return F.when(found.rlike("^[0-9a-f]+$"), _string(found, "secret", "abcdef", key, back)).otherwise(_string(found, "secret", LETTERS, key, back))
+
+
 def _kind(found: Column) -> Column:
-    kind = F.lit(None).cast("string")
+    kind = F.when(found.rlike("^[0-9A-Za-z]{8,64}$"), F.lit("credential"))  # the word before it is not part of it
     for name, pattern in reversed(PATTERNS.items()):
         kind = F.when(found.rlike("^(?:" + pattern + ")$"), F.lit(name)).otherwise(kind)
     return kind
@@ -265,7 +270,7 @@ def _kind(found: Column) -> Column:
 def pseudonym(found: Column, key: str = KEY, back: bool = False) -> Column:
     """What stands for a value that one of PATTERNS found; the value itself if it isn't valid."""
     makers = {"email": _email, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "card": _card,
-              "secret": lambda x, k, b: _string(x, "secret", "abcdef", k, b)}
+              "secret": lambda x, k, b: _string(x, "secret", "abcdef", k, b), "credential": _credential}
 
     def make(kind):
         out = found
