@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
+from tablewright.llm.licences import document_licences, fit_licences
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
@@ -89,6 +90,10 @@ def op5_pii_pseudonyms(spark, folder):
     return pseudonymised(load(spark, folder, "documents").select("doc_id", "text"), count="n_replaced")
 
 
+def op6_licence_scan(spark, folder):
+    return document_licences(load(spark, folder, "documents"), fit_licences(spark))
+
+
 def op7_source_mixing(spark, folder):
     return mixed_documents(load(spark, folder, "documents"))
 
@@ -128,6 +133,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
+    "op6_licence_scan": op6_licence_scan,
     "op7_source_mixing": op7_source_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
