@@ -13,6 +13,7 @@ from tablewright.llm.neardup import near_duplicates
 from tablewright.llm.pieces import decode_ids, encode_texts
 from tablewright.llm.pseudonyms import pseudonymised
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from tablewright.llm.vectors import near_vectors
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -116,6 +117,10 @@ MIX_SQL = f"""with d as (select doc_id, source, len({WORDS})::bigint as size fro
     from d join t on d.source is not distinct from t.source left join k using (doc_id)"""
 
 
+def op8_embedding_near_dedup(spark, folder):
+    return near_vectors(load(spark, folder, "embeddings"))
+
+
 def op9_html_extraction(spark, folder):
     return main_texts(load(spark, folder, "pages"))
 
@@ -135,8 +140,24 @@ QUERIES = {
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_licence_scan": op6_licence_scan,
     "op7_source_mixing": op7_source_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES = {"op1_quality_rules": _quality_sql(), "op2_minhash_near_dedup": NEAR_SQL,
-           "op7_source_mixing": MIX_SQL}
+COSINE_SQL = """with recursive
+    v as (select vec_id, embedding::double[] as e from embeddings),
+    g as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from v
+      where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+    l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / a.size / b.size >= 0.9 else false end),
+    r as (select vec_id, vec_id as root from v union select l.b, r.root from r join l on l.a = r.vec_id),
+    m as (select vec_id, min(root) as component_id from r group by vec_id),
+    n as (select a, count(*) as n from l group by a)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from m left join n on n.a = m.vec_id"""
+
+ORACLES = {
+    "op1_quality_rules": _quality_sql(),
+    "op2_minhash_near_dedup": NEAR_SQL,
+    "op7_source_mixing": MIX_SQL,
+    "op8_embedding_near_dedup": COSINE_SQL,
+}
