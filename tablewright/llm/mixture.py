@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.frames import quoted, small_or_not, stored
+from tablewright.llm.frames import let, quoted, small_or_not, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Words in a block; blocks of a source are ordered by 60-bit hashes, first by their 12 high bits.
@@ -94,14 +94,18 @@ def _drawn(total: Column, good: Column, taken: Column, chance: Column) -> Column
     def following(weight, k):
         return weight * ((good - k).cast("double") * (taken - k)) / ((k + 1).cast("double") * (total - good - taken + k + 1))
 
+    def weights(at, k):
+        return F.struct(following(at["weight"], k).alias("weight"), (at["sum"] + following(at["weight"], k)).alias("sum"))
+
+    def passed(at, k, goal):
+        return F.struct(following(at["weight"], k).alias("weight"), (at["sum"] + following(at["weight"], k)).alias("sum"),
+                        (at["more"] + (at["sum"] <= goal).cast("long")).alias("more"))
+
     start = F.struct(F.lit(1.0).alias("weight"), F.lit(1.0).alias("sum"))
-    sums = F.aggregate(steps, start, lambda at, k: F.struct(
-        following(at["weight"], k).alias("weight"), (at["sum"] + following(at["weight"], k)).alias("sum")))["sum"]
     first = F.struct(F.lit(1.0).alias("weight"), F.lit(1.0).alias("sum"), F.lit(0).cast("long").alias("more"))
-    above = F.aggregate(steps, first, lambda at, k: F.struct(
-        following(at["weight"], k).alias("weight"), (at["sum"] + following(at["weight"], k)).alias("sum"),
-        (at["more"] + (at["sum"] <= chance * sums).cast("long")).alias("more")))["more"]
-    return low + above
+    return let(F.struct(low.alias("low"), steps.alias("steps")), lambda range_: let(
+        chance * F.aggregate(range_["steps"], start, weights)["sum"],
+        lambda goal: range_["low"] + F.aggregate(range_["steps"], first, lambda at, k: passed(at, k, goal))["more"]))
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
@@ -123,8 +127,8 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") ->
         def step(at, x):
             chance = F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), F.col("width"), x["source"]), F.lit(1 << 52)) / float(1 << 52)
             n = _drawn(at["left"], x["n"], at["open"], chance)
-            return F.transform(F.array(n), lambda k: F.struct(
-                (at["left"] - x["n"]).alias("left"), (at["open"] - k).alias("open"), F.concat(at["drawn"], F.array(k)).alias("drawn")))[0]
+            return let(n, lambda k: F.struct(
+                (at["left"] - x["n"]).alias("left"), (at["open"] - k).alias("open"), F.concat(at["drawn"], F.array(k)).alias("drawn")))
 
         split = nodes.select("counts", "shard", "width", half.alias("half"), F.aggregate("counts", start, step)["drawn"].alias("drawn"))
         left = F.zip_with("counts", "drawn", lambda x, k: F.struct(x["null"].alias("null"), x["source"].alias("source"), k.alias("n")))

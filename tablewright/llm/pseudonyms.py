@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.frames import quoted
+from tablewright.llm.frames import let, quoted
 
 KEY, ROUNDS = "tablewright", 10
 # Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
@@ -33,11 +33,6 @@ ANY = "|".join(_BEGINNINGS.get(name, "(?=[0-9+(])") + f"(?:{pattern})" for name,
 MARK = "\uE8D4"
 
 
-def let(value: Column, use) -> Column:
-    """`use` applied to a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _number(text: Column) -> Column:
     return text.cast("long")
 
