@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.frames import let, quoted, small_or_not, stored
+from tablewright.llm.frames import let, one_row_per_key, quoted, small_or_not, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Words in a block; blocks of a source are ordered by 60-bit hashes, first by their 12 high bits.
@@ -162,6 +162,22 @@ def mixture(sized: DataFrame, targets: DataFrame, shards: int = SHARDS, passes:
             .select("key", "source", "block", "words", "pass", "shard", F.xxhash64("hash", "pass", "shard").alias("spot")))
 
 
+def drawn_texts(df: DataFrame, drawn: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` once for each pass that draws from them, with the words of the drawn blocks as their text.
+
+    A text of which a pass takes all blocks stays as it is; of others the drawn blocks stand in their order with the
+    white space that follows each word. Rows without a drawn block go; a key that repeats counts as its first row
+    in the order of its columns.
+    """
+    takes = drawn.groupBy("key", "pass").agg(F.sort_array(F.collect_list("block")).alias("__taken")).withColumnRenamed("key", "__key")
+    rows = one_row_per_key(df.withColumn("key", quoted(key))).drop("pass")
+    joined = rows.join(takes, rows["key"].eqNullSafe(F.col("__key")))
+    parts = F.regexp_extract_all(quoted(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    taken = F.transform("__taken", lambda i: F.array_join(F.slice(parts, i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)), ""))
+    whole = F.ceil(F.regexp_count(quoted(text), F.lit(WORD)) / BLOCK_WORDS) == F.size("__taken")
+    return joined.withColumn(text, F.when(whole, quoted(text)).otherwise(F.array_join(taken, ""))).select(*[quoted(c) for c in df.columns])
+
+
 def write_shards(rows: DataFrame, path: str) -> None:
     """Writes drawn rows by shard, in random order inside each file."""
     rows.repartitionByRange("shard", "spot").sortWithinPartitions("shard", "spot").write.partitionBy("shard").parquet(path)

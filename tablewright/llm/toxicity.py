@@ -192,16 +192,18 @@ def _featured(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame
     return df.select(*keep, "text").mapInArrow(run, kinds + "x1 double, x2 double")
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, score (0 to 1) and predicted (1 if the score is at least 0.5) of every row, from the text alone.
+def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns, score (0 to 1) and predicted (1 if the score is at least 0.5) of every row, from the text alone.
 
-    A null or empty text has no matches and gets the lowest score; rows stay as they are, also repeated or null
-    keys; other columns are not looked at.
+    A null or empty text has no matches and gets the lowest score; rows stay as they are, also repeated ones; other
+    columns are not looked at.
     """
     a, b, c = model.scale
-    rows = _featured(df.select(quoted(key).alias("key"), quoted(text).alias("text")), model, ["key"])
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = _featured(df.select(*[quoted(c).alias(n) for n, c in zip(names, keep)], quoted(text).alias("text")), model, names)
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x1") + F.lit(c) * F.col("x2"))))
-    return rows.select(F.col("key").alias(key), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = rows.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(key: str = "doc_id"):
