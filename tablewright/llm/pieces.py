@@ -9,6 +9,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
@@ -17,7 +18,7 @@ from tablewright.llm.frames import quoted
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Characters of texts and of unseen segments that are indexed together, and segments whose pieces are remembered.
-BATCH_CHARS, INDEX_CHARS, REMEMBERED = 1 << 21, 1 << 19, 300_000
+BATCH_CHARS, INDEX_CHARS, REMEMBERED = 1 << 20, 1 << 18, 400_000
 # Longer segments are merged one by one.
 LONG = 48
 NEVER = np.int32(2**31 - 1)
@@ -54,13 +55,16 @@ class Vocabulary:
         self.unknown = next(i for i, k in enumerate(kinds) if k == 2)
         named = {n: i for i, (n, k) in enumerate(zip(names, kinds)) if k == 6}
         self.bytes = [named.get(f"<0x{b:02X}>", self.unknown) for b in range(256)] if named else None
-        self.spelled = [b""] * len(names)
+        spelled = [b""] * len(names)
         for i, k in enumerate(kinds):
             if k == 6:
-                self.spelled[i] = bytes([int(names[i][3:5], 16)])
+                spelled[i] = bytes([int(names[i][3:5], 16)])
             elif k == 1:
-                self.spelled[i] = names[i].replace(SPACE, " ").encode()
-        self.spelled[self.unknown] = " ⁇ ".encode()
+                spelled[i] = names[i].replace(SPACE, " ").encode()
+        spelled[self.unknown] = " ⁇ ".encode()
+        self.letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
         # a text falls apart where no piece reaches across: before a space sign, around line breaks without a piece
         if any(SPACE in w.lstrip(SPACE) for w in words):
             raise ValueError("a piece has a space sign after another character")
@@ -80,8 +84,9 @@ def vocabulary(model: bytes) -> Vocabulary:
 def _edges(codes: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """By length and position, the piece that lies there (or -1).
 
-    The suffixes of the text are sorted by as many characters as the longest piece has, packed into 64-bit keys;
-    each piece is looked up by binary search, which gives the range of suffixes that begin with it.
+    The suffixes of the text are sorted by as many characters as fit into a 64-bit key; each piece is looked up by
+    binary search, which gives the range of suffixes that begin with it. For a piece that is longer than a key, the
+    range of its beginning is narrowed to the suffixes that go on like it.
     """
     n, longest = len(codes), vocab.longest
     table = np.full((longest + 1, n + 1), -1, dtype=np.int32)
@@ -99,26 +104,21 @@ def _edges(codes: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     pieces = np.concatenate([pieces, np.zeros((len(rows), per_key), dtype=np.uint64)], axis=1)
     lengths, ids = vocab.lengths[rows], vocab.normal[rows]
 
-    keys, low, high = [], [], []
-    for first in range(0, longest, per_key):
-        key, least, most = np.zeros(n, dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64)
-        for j in range(first, first + per_key):
-            key = (key << np.uint64(bits)) | text[j:j + n]
-            least = (least << np.uint64(bits)) | pieces[:, j]
-            most = (most << np.uint64(bits)) | np.where(j < lengths, pieces[:, j], np.uint64((1 << bits) - 1))
-        keys.append(key)
-        low.append(least)
-        high.append(most)
-    suffixes = np.lexsort(keys[::-1])
-    keys = [key[suffixes] for key in keys]
-    begin = np.searchsorted(keys[0], low[0], "left")
-    end = np.searchsorted(keys[0], high[0], "right")
+    key, low, high = np.zeros(n, dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64)
+    for j in range(per_key):
+        key = (key << np.uint64(bits)) | text[j:j + n]
+        low = (low << np.uint64(bits)) | pieces[:, j]
+        high = (high << np.uint64(bits)) | np.where(j < lengths, pieces[:, j], np.uint64((1 << bits) - 1))
+    suffixes = np.argsort(key)
+    key = key[suffixes]
+    begin = np.searchsorted(key, low, "left")
+    end = np.searchsorted(key, high, "right")
     for row in np.flatnonzero((lengths > per_key) & (end > begin)):
-        a, b = begin[row], end[row]
-        for level in range(1, (int(lengths[row]) - 1) // per_key + 1):
-            part = keys[level][a:b]
-            a, b = a + np.searchsorted(part, low[level][row], "left"), a + np.searchsorted(part, high[level][row], "right")
-        begin[row], end[row] = a, b
+        at = suffixes[begin[row]:end[row]]
+        for j in range(per_key, int(lengths[row])):
+            at = at[text[at + j] == pieces[row, j]]
+        table[lengths[row], at] = ids[row]
+        end[row] = begin[row]
     count = np.maximum(0, end - begin)
     found = np.repeat(np.arange(len(rows)), count)
     within = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count)
@@ -224,6 +224,17 @@ def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray,
     return np.concatenate(flats), np.concatenate(counts)
 
 
+def decode_rows(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[str]:
+    """Texts of rows of ids that stand one after the other."""
+    known = (ids >= 0) & (ids < len(vocab.sizes))
+    size = np.where(known, vocab.sizes[np.where(known, ids, 0)], 0)
+    done = np.cumsum(size)
+    first = vocab.places[np.where(known, ids, 0)]
+    raw = vocab.letters[np.arange(int(size.sum())) + np.repeat(first - done + size, size)].tobytes()
+    ends = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(counts)])]
+    return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 class _Numbers(dict):
     """Numbers segments as they first appear."""
 
@@ -261,6 +272,23 @@ class Encoder:
         return ids, np.diff(total)
 
 
+@lru_cache(maxsize=2)
+def _encoder(model: bytes) -> Encoder:
+    """Kept by a worker from task to task."""
+    return Encoder(vocabulary(model))
+
+
+def _slices(batch, column: int):
+    """Parts of a batch with about BATCH_CHARS of text, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(size):
+        start = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, start + BATCH_CHARS, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
     return "".join(f"k{i} {df.select(quoted(c)).schema[0].dataType.simpleString()}, " for i, c in enumerate(columns))
 
@@ -271,8 +299,10 @@ def _shared(df: DataFrame, path: str):
         return SparkContext.getOrCreate().broadcast(file.read())
 
 
-def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
-    """The `keep` columns, ids (array of int) and n_tokens of every text, as the vocabulary's own encoder gives them.
+def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY,
+                 check: bool = False) -> DataFrame:
+    """The `keep` columns, ids (array of int) and n_tokens of every text, as the vocabulary's own encoder gives them;
+    with `check` also round_trip: whether the ids decode to the text (U+2581 as a space).
 
     All pieces that occur in a batch of texts are found by binary search in its suffix array and become edges by
     position; neighbours are then joined along the edges in the vocabulary's order of merges. Texts are cut where
@@ -282,25 +312,19 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     model, n = _shared(df, path), len(keep)
 
     def run(batches):
-        encoder = Encoder(vocabulary(model.value))
+        encoder = _encoder(model.value)
         for batch in batches:
-            texts = batch.column(n).to_pylist()
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < BATCH_CHARS):
-                    size += len(texts[last] or "")
-                    last += 1
-                ids, counts = encoder.encode(texts[first:last])
+            for part in _slices(batch, n):
+                texts = part.column(n).to_pylist()
+                ids, counts = encoder.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(n)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), pa.array(counts)],
-                    [*(f"k{i}" for i in range(n)), "ids", "n_tokens"])
-                first = last
+                columns = [*(part.column(i) for i in range(n)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), pa.array(counts)]
+                if check:
+                    columns.append(pa.array([new == (old or "").replace(SPACE, " ") for new, old in zip(decode_rows(ids, counts, encoder.vocab), texts)]))
+                yield pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(n)), "ids", "n_tokens", *(["round_trip"] if check else [])])
 
     chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("text"))
-    out = chosen.mapInArrow(run, _kinds(df, keep) + "ids array<int>, n_tokens long")
+    out = chosen.mapInArrow(run, _kinds(df, keep) + "ids array<int>, n_tokens long" + ", round_trip boolean" * check)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
@@ -313,13 +337,11 @@ def decode_ids(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id
     model, n = _shared(df, path), len(keep)
 
     def run(batches):
-        spelled = dict(enumerate(vocabulary(model.value).spelled))
+        vocab = vocabulary(model.value)
         for batch in batches:
-            texts = []
-            for row in batch.column(n):
-                values = row.values
-                raw = b"".join([spelled.get(i, b"") for i in values.to_numpy(zero_copy_only=False).tolist()]) if values is not None else b""
-                texts.append(raw.decode("utf-8", "replace").removeprefix(" "))
+            rows = batch.column(n).fill_null([])
+            counts = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+            texts = decode_rows(pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False), counts, vocab)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n)), "decoded"])
 
     chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(ids).cast("array<int>").alias("ids"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
 from tablewright.llm.licences import document_licences, fit_licences
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
-from tablewright.llm.pieces import decode_ids, encode_texts
+from tablewright.llm.pieces import encode_texts
 from tablewright.llm.pseudonyms import pseudonymised
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from tablewright.llm.vectors import near_vectors
@@ -126,11 +124,7 @@ def op9_html_extraction(spark, folder):
 
 
 def op10_sentencepiece(spark, folder):
-    texts = load(spark, folder, "documents").select("doc_id", "text")
-    encoded = encode_texts(texts, keep=("doc_id", "text"))
-    decoded = decode_ids(encoded, keep=("doc_id", "text", "ids", "n_tokens"))
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
-    return decoded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+    return encode_texts(load(spark, folder, "documents"), check=True)
 
 
 QUERIES = {
