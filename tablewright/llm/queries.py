@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
+from tablewright.llm.language import fit_languages, identify_languages
 from tablewright.llm.licences import document_licences, fit_licences
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
@@ -78,6 +79,10 @@ NEAR_SQL = f"""with recursive
     from m left join n using (doc_id)"""
 
 
+def op3_language_id(spark, folder):
+    return identify_languages(load(spark, folder, "pages"), fit_languages(load(spark, folder, "documents")))
+
+
 def op4_toxicity(spark, folder):
     documents = load(spark, folder, "documents")
     labels = load(spark, folder, "labels").select("doc_id", "toxic").filter(~held_out())
@@ -130,6 +135,7 @@ def op10_sentencepiece(spark, folder):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_licence_scan": op6_licence_scan,
