@@ -142,7 +142,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, key: str = "page_id"
         # languages' totals over the values, one row
         overall = table.select(F.posexplode("own").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("sums"), F.lit(1).alias("one"))
-        values = table.count()
+        values = max(1, table.count())
         return small_or_not(stored(table.join(F.broadcast(overall)).select(F.col(name).alias(f"{name}_value"), F.zip_with(
             "own", "sums", lambda a, b: F.log((a + EVIDENCE_WEIGHT / values) / (b + EVIDENCE_WEIGHT))).alias(f"by_{name}")), name))
 

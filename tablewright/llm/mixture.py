@@ -167,15 +167,16 @@ def drawn_texts(df: DataFrame, drawn: DataFrame, key: str = "doc_id", text: str
 
     A text of which a pass takes all blocks stays as it is; of others the drawn blocks stand in their order with the
     white space that follows each word. Rows without a drawn block go; a key that repeats counts as its first row
-    in the order of its columns.
+    in the order of its columns, null keys each for itself.
     """
-    takes = drawn.groupBy("key", "pass").agg(F.sort_array(F.collect_list("block")).alias("__taken")).withColumnRenamed("key", "__key")
-    rows = one_row_per_key(df.withColumn("key", quoted(key))).drop("pass")
-    joined = rows.join(takes, rows["key"].eqNullSafe(F.col("__key")))
-    parts = F.regexp_extract_all(quoted(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    taken = F.transform("__taken", lambda i: F.array_join(F.slice(parts, i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)), ""))
-    whole = F.ceil(F.regexp_count(quoted(text), F.lit(WORD)) / BLOCK_WORDS) == F.size("__taken")
-    return joined.withColumn(text, F.when(whole, quoted(text)).otherwise(F.array_join(taken, ""))).select(*[quoted(c) for c in df.columns])
+    takes = drawn.groupBy("key", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken")).withColumnRenamed("key", "k")
+    rows = one_row_per_key(df.select(quoted(key).alias("key"), quoted(text).alias("text"), F.struct(*map(quoted, df.columns)).alias("row")))
+    joined = rows.join(takes, rows["key"].eqNullSafe(F.col("k")))
+    parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    taken = F.transform("taken", lambda i: F.array_join(F.slice(parts, i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)), ""))
+    whole = F.ceil(F.regexp_count("text", F.lit(WORD)) / BLOCK_WORDS) == F.size("taken")
+    new = F.when(whole, F.col("text")).otherwise(F.array_join(taken, ""))
+    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -318,6 +318,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows whose document is kept, one for each key; rows with a null key stay."""
     kept = near_duplicates(df, key, text, **options).filter(F.col("kept") & quoted(key).isNotNull()).select(quoted(key).alias("key"))
-    unique = one_row_per_key(df.withColumn("key", quoted(key)))
-    rows = unique.join(kept, "key", "left_semi").unionByName(unique.filter("key is null"))
-    return rows.select(*[quoted(c) for c in df.columns])
+    unique = one_row_per_key(df.select(quoted(key).alias("key"), F.struct(*map(quoted, df.columns)).alias("row")))
+    return unique.join(kept, "key", "left_semi").unionByName(unique.filter("key is null")).select("row.*")

@@ -291,10 +291,12 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY, back: bool
     gaps = F.split(source, ANY, -1)
     pieces = F.when(~source.rlike("[0-9]|@"), F.array(source)).when(F.instr(source, MARK) == 0, marked).otherwise(
         F.flatten(F.zip_with(gaps, F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda gap, found: F.array(gap, found))))
-    changed = df.withColumn("__old", pieces).withColumn("__new", F.transform(
-        "__old", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, back)).otherwise(x)))
-    changed = changed.withColumn(text, F.when(F.size("__old") > 1, F.array_join("__new", "")).otherwise(source))
+    spare = max(map(len, df.columns), default=0)
+    old, new = "o" * (spare + 1), "n" * (spare + 1)  # longer than any name in use
+    changed = df.withColumn(old, pieces).withColumn(new, F.transform(
+        old, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, back)).otherwise(x)))
+    changed = changed.withColumn(text, F.when(F.size(old) > 1, F.array_join(new, "")).otherwise(source))
     if count:
-        differ = F.filter(F.zip_with("__old", "__new", lambda a, b: a != b), lambda x: x)
+        differ = F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)
         changed = changed.withColumn(count, F.coalesce(F.size(differ), F.lit(0)).cast("long"))
-    return changed.drop("__old", "__new")
+    return changed.drop(old, new)
