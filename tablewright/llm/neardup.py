@@ -310,7 +310,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
                .select("s1", "s2", F.coalesce("component", "rep").alias("component")))
     out = (signed.select("key", "n_shingles", "s1", "s2")
            .join(classes, ["s1", "s2"], "left")
-           .select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+           .select("key", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("key")).alias("component_id"))
            .withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))))
     return out.withColumnRenamed("key", key)
 
