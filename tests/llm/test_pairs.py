@@ -1,5 +1,13 @@
 """Near-duplicates, vectors, mixing, components and the pipeline against brute force."""
 
+import os
+import sys
+from pathlib import Path
+
+ROOT = str(Path(__file__).resolve().parents[2])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])  # for the workers
+
 import math
 import random
 import re

@@ -1,5 +1,13 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeated rows and odd columns."""
 
+import os
+import sys
+from pathlib import Path
+
+ROOT = str(Path(__file__).resolve().parents[2])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])  # for the workers
+
 import random
 import re
 from collections import Counter
