@@ -24,10 +24,16 @@ VIEWS = {
         from events""",
     "replies": """
         select event_id,
-          case when event_id % 5 = 0 then concat('```json', chr(10), props, chr(10), '```')
-               when event_id % 5 = 1 then 'not json at all'
-               when event_id % 5 = 2 then '[1, 2, 3]'
-               when event_id % 5 = 3 then '{"a": 1}'
+          case when event_id % 11 = 0 then concat('```json', chr(10), props, chr(10), '```')
+               when event_id % 11 = 1 then 'no object here'
+               when event_id % 11 = 2 then '[4, 5]'
+               when event_id % 11 = 3 then '{"a": 1}'
+               when event_id % 11 = 4 then concat(props, ' Hope this helps!')
+               when event_id % 11 = 5 then '{"k":1,"a":2}{"x":1}'
+               when event_id % 11 = 6 then '{"k":1,"k":2,"a":3}'
+               when event_id % 11 = 7 then '{"k":{"z":1},"a":"x"}'
+               when event_id % 11 = 8 then ''
+               when event_id % 11 = 9 then '{"k":1}, {"k":2}'
                else props end as reply
         from events""",
     "preds": """

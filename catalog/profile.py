@@ -494,11 +494,16 @@ def _box_sql(table, names):
             + f", outliers from ({inner}) b")
 
 
-@query("box_summary", _box_sql(PROFILED, numerics(PROFILED)[:5]))
+@query("box_summary", _box_sql(PROFILED, numerics(PROFILED)))
 def _(spark, sf):
     return rounded(charts.box_summary(load(spark, sf, PROFILED)))
 
 
+@query("box_summary_lineitem", _box_sql("lineitem", numerics("lineitem")))
+def _(spark, sf):
+    return rounded(charts.box_summary(load(spark, sf, "lineitem")))
+
+
 # L1-L3
 
 @query("preview_head", "select * from (select " + ", ".join(

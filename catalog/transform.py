@@ -43,13 +43,6 @@ def _(spark, sf):
     return kept(treated(spark, sf, "remove"))
 
 
-@query("outliers_remove_sampled", f"{source(DIRTY)} select {kept_sql()} from t where event_id not in (" + union(
-    f"select event_id from (select event_id, row_number() over (order by event_id) as place from t where {z_flag(c)}) s "
-    f"where place <= 20" for c in numerics(DIRTY)) + ")")
-def _(spark, sf):
-    return kept(treated(spark, sf, "remove", sampled_rows_only=True))
-
-
 def _capped(c):
     low, high = fence_sql(c)
     return f"case when {c} is not null then least(greatest({c}, {low}), {high}) end"
@@ -226,7 +219,7 @@ def _(spark, sf):
 
 
 def hash_sql(*keys):
-    return f"cast('0x' || substr(md5(concat_ws('|', '42', {', '.join(keys)})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws('|', '42', {', '.join(keys)})), 1, 15) as bigint)"
 
 
 def _order_sql(label):
@@ -274,6 +267,30 @@ def _(spark, sf):
     return rounded(read_table(spark, path))
 
 
+@query("csv_line_breaks", "select doc_id, text, lang, source, n_chars from documents where text is not null and text not in ('', 'NA', 'null', 'None')")
+def _(spark, sf):
+    path = shared_path(spark, "documents") + ".csv"
+    rows = load(spark, sf, "documents").where("text is not null and text not in ('', 'NA', 'null', 'None')")
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return read_table(spark, path)
+
+
+@query("csv_given_schema", """select l_orderkey * 100000000000 + 1234567890123456789 as long_id, l_comment_free as note, l_quantity as l_quantity from
+    (select *, case when l_linenumber = 3 then null else l_returnflag end as l_comment_free from lineitem) x""")
+def _(spark, sf):
+    path = shared_path(spark, "lineitem") + ".csv"
+    note = F.when(F.col("l_linenumber") == 3, "NA").otherwise(F.col("l_returnflag"))
+    load(spark, sf, "lineitem").select(note.alias("note"), F.col("l_quantity"), (F.col("l_orderkey") * 100000000000 + 1234567890123456789).alias("long_id")).write.csv(path, header=True)
+    return read_table(spark, path, schema="long_id bigint, note string, l_quantity double")
+
+
+@query("csv_long_ids", "select cast(l_orderkey as bigint) * 100000000000 + 1234567890123456789 as long_id, cast(l_linenumber as bigint) as l_linenumber from lineitem")
+def _(spark, sf):
+    path = shared_path(spark, "lineitem") + ".csv"
+    load(spark, sf, "lineitem").select((F.col("l_orderkey").cast("bigint") * 100000000000 + 1234567890123456789).alias("long_id"), "l_linenumber").write.csv(path, header=True)
+    return read_table(spark, path, multi_line=False)
+
+
 @query("json_round_trip", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
 def _(spark, sf):
     path = shared_path(spark, "orders") + ".jsonl"

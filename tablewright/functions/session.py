@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,3 +53,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, *keys)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, where it isn't installed on them; functions in Python need it there."""
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tablewright-")) / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)

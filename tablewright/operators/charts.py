@@ -10,7 +10,6 @@ from tablewright.operators.profile import Profile, fences
 from tablewright.operators.quantiles import exact_quantiles, value_extents
 
 HISTOGRAM_BINS = 20
-BOX_COLUMNS = 5
 
 
 def _bin(x, low: float, high: float, bins: int):
@@ -62,7 +61,7 @@ def bar(df: DataFrame, label: str, value: str | None = None, top: int | None = N
 
 def box_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Five numbers, whisker ends inside the 1.5 IQR fences and outlier count per column."""
-    names = columns or numeric_columns(df)[:BOX_COLUMNS]
+    names = columns or numeric_columns(df)
     extents = value_extents(df, names)
     names = [c for c in names if extents[c][0]]
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75], extents)

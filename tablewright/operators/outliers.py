@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.functions.columns import as_double, ref
+from tablewright.functions.columns import as_double
 from tablewright.operators.profile import Z_LIMIT, Profile, fences
 
 STRATEGIES = ("remove", "cap", "log", "flag", "keep")
@@ -21,7 +21,6 @@ class Treatment:
     moments: dict[str, tuple[float, float]] = field(default_factory=dict)
     bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
     loggable: list[str] = field(default_factory=list)
-    rows: DataFrame | None = None
     key: list[str] = field(default_factory=list)
 
     def _far(self, df: DataFrame, column: str):
@@ -31,9 +30,6 @@ class Treatment:
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.strategy == "remove" and self.columns:
-            if self.rows is not None:
-                # At most the sample cap per column, so the side stays small.
-                return df.join(F.broadcast(self.rows), self.key, "left_anti")
             for c in self.columns:
                 df = df.where(~self._far(df, c))
         elif self.strategy == "cap":
@@ -52,11 +48,8 @@ class Treatment:
 
 
 def fit_treatment(df: DataFrame | Profile, strategy: str = "cap", target: str | None = None,
-                  key=None, sampled_rows_only: bool = False) -> Treatment:
-    """Bounds for the columns that hold z-score outliers; `keep` when none does.
-
-    `sampled_rows_only` removes just the profile's first twenty flagged rows per column.
-    """
+                  key=None) -> Treatment:
+    """Bounds for the columns that hold z-score outliers; `keep` when none does."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}, expected one of {STRATEGIES}")
     profile = df if isinstance(df, Profile) else Profile(df, target, key)
@@ -71,13 +64,10 @@ def fit_treatment(df: DataFrame | Profile, strategy: str = "cap", target: str |
     elif strategy == "log":
         out.loggable = [c for c in flagged
                         if profile.stats[c].n == profile.rows and profile.stats[c].low >= 0]
-    elif strategy == "remove" and sampled_rows_only:
-        out.rows = profile.outlier_samples().select(*[ref(k) for k in profile.key]).distinct()
     return out
 
 
-def treat_outliers(df: DataFrame, strategy: str = "cap", target: str | None = None, key=None,
-                   sampled_rows_only: bool = False) -> DataFrame:
+def treat_outliers(df: DataFrame, strategy: str = "cap", target: str | None = None, key=None) -> DataFrame:
     """Fit on the table and apply to it."""
     profile = Profile(df, target, key)
-    return fit_treatment(profile, strategy, sampled_rows_only=sampled_rows_only).apply(profile.df)
+    return fit_treatment(profile, strategy).apply(profile.df)

@@ -108,17 +108,17 @@ def one_hot(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None,
 # the data alone and not on how it is partitioned.
 
 def key_hash(keys: list[str], seed: int = SEED) -> Column:
-    """First 32 bits of the MD5 of seed and key, as a BIGINT."""
+    """First 60 bits of the MD5 of seed and key, as a BIGINT."""
     text = F.concat_ws("|", F.lit(str(seed)), *[ref(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def _cut_values(hashed: DataFrame, places: list[Column]) -> DataFrame:
     """(label, cut, h): the hash of the last row before each place in every label's order.
 
-    A place counts the label's rows that come first and is an expression over `total`. The
-    hash is cut in two halves: counts by the high half find the bucket, counts by whole
-    hash within that bucket find the value, so a label never holds more than 65,536 rows.
+    A place counts the label's rows that come first and is an expression over `total`. Counts
+    by the high 16 bits find the bucket, counts by whole hash within that bucket find the
+    value, so a task holds 65,536 counts or one 65,536th of a label's rows.
     """
     label = Window.partitionBy("label")
     buckets = hashed.groupBy("label", "hi").agg(F.count("*").alias("n"))
@@ -146,7 +146,7 @@ def _with_cut_count(df: DataFrame, keys: list[str], label: str | None, places: l
     h = key_hash(keys, seed)
     label_column = ref(label) if label else F.lit(0)
     hashed = df.select(label_column.alias("label"), h.alias("h"),
-                       F.shiftright(h, 16).cast("int").alias("hi"))
+                       F.shiftright(h, 44).cast("int").alias("hi"))
     cuts = (_cut_values(hashed, places).groupBy("label")
             .agg(F.sort_array(F.collect_list("cut_h")).alias("cuts"),
                  (F.lit(len(places)) - F.count("*")).cast("int").alias("open")))

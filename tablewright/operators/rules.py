@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import ref
 
-SUMMARY_CHARS = 500
+SUMMARY_CHARS = 500  # of a step's texts in the roll-up
 FENCE = "```"
 
 # Required keys and defaults of the known reply kinds.
@@ -86,19 +86,21 @@ def best_run(runs: DataFrame, order: str = "run_id") -> DataFrame:
 
 
 def leaderboard(results: DataFrame) -> DataFrame:
-    """Report columns of a results table (dataset, ori, mu, fitness, gap, model)."""
+    """Report columns of a results table (dataset, ori, mu, fitness, gap, model, and error if it has one)."""
+    errors = ["error"] if "error" in results.columns else []
     return results.select("dataset", fixed(F.col("ori"), 3).alias("ori"),
                           fixed(F.col("mu"), 4).alias("best_mu_cv"), fixed(F.col("fitness"), 4).alias("fitness"),
-                          fixed(F.col("gap"), 4).alias("gap"), "model")
+                          fixed(F.col("gap"), 4).alias("gap"), "model", *errors)
 
 
-def trace_steps(steps: DataFrame) -> DataFrame:
-    """Duration in ms and shortened summaries of raw steps (started_at, finished_at in s)."""
+def trace_steps(steps: DataFrame, chars: int | None = SUMMARY_CHARS) -> DataFrame:
+    """Duration in ms and summaries, cut to `chars` unless None, of raw steps (started_at, finished_at in s)."""
+    short = (lambda c: F.substring(c, 1, chars)) if chars is not None else F.col
     took = F.round((F.col("finished_at") - F.col("started_at")) * 1000, 1)
     return steps.withColumns({
         "duration_ms": F.when(F.col("status").isin("success", "error"), took).otherwise(0.0),
-        "input_summary": F.substring("input_summary", 1, SUMMARY_CHARS),
-        "output_summary": F.substring("output_summary", 1, SUMMARY_CHARS)})
+        "input_summary": short("input_summary"),
+        "output_summary": short("output_summary")})
 
 
 def trace_rollup(steps: DataFrame, by=("agent_name",)) -> DataFrame:
@@ -124,16 +126,31 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
+def _json_value(text: Column) -> Column:
+    """Whether the whole text is one JSON value: it is the only element when wrapped as an array, and the only
+    member when wrapped as an object (text that closes one wrapping early breaks the other)."""
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    member = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), text, F.lit("}")))) == 1
+    return F.coalesce(single & member, F.lit(False))
+
+
+def _last_values(fields: Column) -> Column:
+    """A map with the last value of each repeated key."""
+    pairs = F.map_entries(fields)
+    again = lambda pair, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"])
+    return F.map_from_entries(F.filter(pairs, lambda pair, i: ~again(pair, i)))
+
+
 def validate_replies(df: DataFrame, reply: str, required: list[str] = (), defaults: dict | None = None,
                      strict: bool = False) -> DataFrame:
     """Adds status, missing keys and the filled fields of each reply.
 
-    status is ok, invalid_json, not_object or, when strict, missing_required.
+    status is ok, invalid_json, not_object or, when strict, missing_required. Anything but white space after
+    the value makes a reply invalid; of a repeated key the last value counts.
     """
-    parsed = F.try_parse_json(F.col("_clean"))
-    out = df.withColumn("_clean", unfenced(ref(reply))).withColumn("_json", parsed)
-    is_object = F.schema_of_variant("_json").startswith("OBJECT")
-    out = out.withColumn("_fields", F.when(is_object, F.from_json("_clean", "map<string,string>")))
+    out = df.withColumn("_clean", unfenced(ref(reply))).withColumn("_json", _json_value(F.col("_clean")))
+    is_object = F.col("_json") & F.col("_clean").rlike(r"^\s*\{")
+    out = out.withColumn("_fields", F.when(is_object, _last_values(F.from_json("_clean", "map<string,string>"))))
     required_keys = F.array(*[F.lit(k) for k in required]).cast("array<string>")
     missing = F.filter(required_keys, lambda k: ~F.map_contains_key("_fields", k))
     defaults = {k: _text(v) for k, v in (defaults or {}).items()}
@@ -142,7 +159,7 @@ def validate_replies(df: DataFrame, reply: str, required: list[str] = (), defaul
     absent = F.map_filter(extra, lambda k, _: ~F.map_contains_key("_fields", k))
     out = out.withColumn("missing", F.when(F.col("_fields").isNotNull(), missing))
     failed = F.lit(strict) & (F.size("missing") > 0)
-    status = (F.when(F.col("_json").isNull(), "invalid_json")
+    status = (F.when(~F.col("_json"), "invalid_json")
               .when(F.col("_fields").isNull(), "not_object")
               .when(failed, "missing_required").otherwise("ok"))
     filled = F.when(F.col("_fields").isNotNull() & ~failed, F.map_concat("_fields", absent))

@@ -8,6 +8,7 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -235,6 +236,7 @@ class Search:
         self.rows = self.table.count()
         self.parts = [(self.table.where(F.col("fold") != f), self.table.where(F.col("fold") == f))
                       for f in range(k)] + [(self.table, self.table)]
+        self.sizes = [train.count() for train, _ in self.parts]
         self.preps = [fit_numeric(train, self.usable) for train, _ in self.parts]
         self.memo: dict[str, dict | None] = {}
 
@@ -247,7 +249,7 @@ class Search:
         names = [f"s{i}" for i in range(len(chosen))]
         return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
 
-    def _fit(self, candidate: Candidate, train: DataFrame):
+    def _fit(self, candidate: Candidate, train: DataFrame, rows: int):
         kernel = candidate.hparams.get("kernel", "linear")
         if candidate.model == "KNN":
             return KnnModel(train, self.key, self.problem, candidate.hparams.get("n_neighbors", 5)).transform
@@ -261,11 +263,7 @@ class Search:
         if candidate.model == "SVM" and self.problem == "regression":
             fitted = fit_svr(widen(train), candidate.hparams.get("C", 1.0))
         else:
-            model = candidate.model
-            if model not in SPACES:
-                model = "LinearRegression"
-            fitted = make_estimator(model, self.problem, candidate.hparams, self.rows,
-                                    self.classes).fit(widen(train))
+            fitted = make_estimator(candidate.model, self.problem, candidate.hparams, rows, self.classes).fit(widen(train))
         return lambda t: fitted.transform(widen(t))
 
     def evaluate(self, candidate: Candidate) -> dict | None:
@@ -275,7 +273,7 @@ class Search:
             return None
         predictions = None
         for fold, ((train, held_out), prep) in enumerate(zip(self.parts, self.preps)):
-            predict = self._fit(candidate, self._vectors(train, prep, chosen))
+            predict = self._fit(candidate, self._vectors(train, prep, chosen), self.sizes[fold])
             rows = predict(self._vectors(held_out, prep, chosen)).select(
                 F.lit(fold).alias("fold"), "label", F.col("prediction").alias("pred"))
             predictions = rows if predictions is None else predictions.unionByName(rows)
@@ -298,7 +296,7 @@ class Search:
     def _attempt(self, candidate: Candidate) -> dict | None:
         try:
             return self.evaluate(candidate)
-        except Exception as error:  # a candidate that cannot be fitted scores -1
+        except (AnalysisException, IllegalArgumentException, ValueError) as error:  # cannot be fitted: scores -1
             warnings.warn(f"{candidate.model} {candidate.hparams} failed: {error}", stacklevel=2)
             return None
 

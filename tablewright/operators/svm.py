@@ -66,7 +66,9 @@ def fit_svr(vectors: DataFrame, c: float = 1.0, epsilon: float = EPSILON, rounds
         weight = F.when(beyond > 0, F.lit(float(c)) / F.greatest(beyond, F.lit(NEAREST))).otherwise(0.0)
         pulled = scored.select("features", weight.alias("weight"), beyond.alias("beyond"),
                                (F.col("label") - F.signum(error) * F.lit(epsilon)).alias("label"))
-        totals = pulled.agg(F.sum("weight").alias("w"), F.sum(F.greatest("beyond", F.lit(0.0))).alias("loss")).first()
+        own = F.col("weight") * F.col("label")
+        totals = pulled.agg(F.sum("weight").alias("w"), F.sum(own).alias("wy"), F.sum(own * F.col("label")).alias("wyy"),
+                            F.sum(F.greatest("beyond", F.lit(0.0))).alias("loss")).first()
         objective = 0.5 * float(np.dot(model.coefficients, model.coefficients)) + c * totals["loss"]
         if lowest is not None and objective > lowest * (1 - 1e-6):
             if objective < lowest:
@@ -75,7 +77,11 @@ def fit_svr(vectors: DataFrame, c: float = 1.0, epsilon: float = EPSILON, rounds
         best, lowest = model, objective
         if not totals["w"]:
             break
-        model = LinearRegression(solver="normal", regParam=1.0 / totals["w"], standardization=False,
+        # Spark's solver divides the penalty by the weighted deviation of the label.
+        deviation = max(0.0, totals["wyy"] / totals["w"] - (totals["wy"] / totals["w"]) ** 2) ** 0.5
+        if not deviation:
+            break
+        model = LinearRegression(solver="normal", regParam=deviation / totals["w"], standardization=False,
                                  weightCol="weight").fit(pulled.where("weight > 0"))
     return best
 

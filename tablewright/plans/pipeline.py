@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import warnings
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.tables import half_up, small_table
@@ -84,7 +84,10 @@ def unsupervised_run(df: DataFrame, key: str, columns: list[str] | None = None,
 
 def benchmark(tables: dict[str, tuple[DataFrame, str, str]], size: int = 5, generations: int = 2,
               model: str = "RandomForest", settings: Settings | None = None, threads: int = 4) -> DataFrame:
-    """(dataset, ori, mu, sigma, fitness, gap, model) per (table, target, key); failures are skipped."""
+    """(dataset, ori, mu, sigma, fitness, gap, model, error) per (table, target, key).
+
+    A table that cannot be searched keeps its row, with the reason; failures of jobs rise.
+    """
     rows, spark = [], None
     for name, (df, target, key) in tables.items():
         spark = df.sparkSession
@@ -96,8 +99,8 @@ def benchmark(tables: dict[str, tuple[DataFrame, str, str]], size: int = 5, gene
             best = candidates.orderBy(F.desc("fitness"), "gen", "cand_id").first()
             search.close()
             rows.append((name, half_up(profile.risk["score"], 4), best["mu"], best["sigma"],
-                         best["fitness"], best["gap"], best["model"]))
-        except Exception as error:
-            warnings.warn(f"{name} skipped: {error}", stacklevel=2)
+                         best["fitness"], best["gap"], best["model"], None))
+        except (AnalysisException, IllegalArgumentException, ValueError) as error:
+            rows.append((name, *[None] * 6, str(error)))
     return small_table(spark, rows, "dataset string, ori double, mu double, sigma double, "
-                                    "fitness double, gap double, model string")
+                                    "fitness double, gap double, model string, error string")

@@ -17,8 +17,6 @@ from tablewright.operators.outliers import Treatment
 
 def treated(stream: DataFrame, treatment: Treatment) -> DataFrame:
     """Apply a treatment fitted on a batch table."""
-    if treatment.rows is not None:
-        raise ValueError("row removal by key needs a batch table")
     return treatment.apply(scrub_nonfinite(stream))
 
 

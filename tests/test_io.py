@@ -74,5 +74,3 @@ def test_streams_reuse_frozen_statistics(spark, tmp_path):
     want = fitted.transform(treatment.apply(batch)).select("id", "x", F.round("prediction", 9))
     got = spark.read.parquet(str(tmp_path / "out")).select("id", "x", F.round("prediction", 9))
     assert rows_of(got, "id") == rows_of(want, "id")
-    with pytest.raises(ValueError):
-        treated(stream, fit_treatment(batch, "remove", "y", "id", sampled_rows_only=True))

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import rows_of
@@ -213,3 +214,23 @@ def test_whole_supervised_run(signal):
     assert out["dropped"].first()["dropped"] and "c" not in out["table"].columns
     assert out["metrics"].count() == 2 and out["review"].count() == 1
     assert json.loads(out["candidates"].first()["hparams"])
+
+
+@pytest.mark.parametrize("scale", [0.01, 1.0, 1000.0])
+def test_svr_reaches_the_optimum_at_any_label_scale(spark, scale):
+    draw = np.random.default_rng(12)
+    x = draw.uniform(0, 3, 60)
+    y = scale * (1.5 * x - 2 + 0.4 * draw.normal(size=60))
+    df = spark.createDataFrame([(Vectors.dense([float(a)]), float(b)) for a, b in zip(x, y)], ["features", "label"])
+
+    def least(f, low, high):
+        for _ in range(80):
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, b) if f(a) < f(b) else (a, high)
+        return f((low + high) / 2)
+
+    def objective(w, b):
+        return 0.5 * w * w + np.maximum(np.abs(y - w * x - b) - 0.1, 0).sum()
+
+    best = least(lambda w: least(lambda b: objective(w, b), -10 * scale, 10 * scale), -4 * scale, 4 * scale)
+    assert svr_objective(fit_svr(df, c=1.0), df) <= best * 1.005 + 1e-9

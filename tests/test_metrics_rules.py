@@ -13,10 +13,10 @@ def pairs(spark, truth, pred, kind="int"):
 
 
 def test_perfect_and_imperfect_classes(spark):
-    truth = [0, 1, 0, 1, 1, 0]
+    truth = [0, 0, 1, 1, 1, 0, 1, 0]
     assert tuple(M.classification_metrics(pairs(spark, truth, truth)).first()) == (1.0, 1.0, 1.0, 1.0)
-    got = M.classification_metrics(pairs(spark, truth, [0, 0, 0, 1, 0, 1])).first()
-    assert tuple(got) == (0.5, 0.4857, 0.5, 0.5)
+    got = M.classification_metrics(pairs(spark, truth, [0, 1, 1, 1, 0, 1, 1, 0])).first()
+    assert tuple(got) == (0.625, 0.619, 0.6333, 0.625)
 
 
 def test_labels_only_predicted_or_only_true_count(spark):
@@ -25,10 +25,10 @@ def test_labels_only_predicted_or_only_true_count(spark):
 
 
 def test_regression_vectors(spark):
-    truth = [1.0, 2.0, 3.0, 4.0]
+    truth = [2.0, 4.0, 6.0, 9.0]
     assert tuple(M.regression_metrics(pairs(spark, truth, truth, "double")).first()) == (0.0, 0.0, 0.0, 1.0)
-    got = M.regression_metrics(pairs(spark, truth, [1.5, 2.5, 2.5, 3.5], "double")).first()
-    assert tuple(got) == (0.25, 0.5, 0.5, 0.8)
+    got = M.regression_metrics(pairs(spark, truth, [3.0, 4.0, 5.0, 9.0], "double")).first()
+    assert tuple(got) == (0.5, 0.7071, 0.5, 0.9252)
 
 
 def test_regression_edges(spark):
@@ -77,8 +77,12 @@ def test_plateau_from_the_fourth_generation(spark):
     ('{"a": 1}', ["b"], {}, False, "ok", ["b"], {"a": "1"}),
     ('{"a": 1}', [], {"b": 2, "c": 42}, False, "ok", [], {"a": "1", "b": "2", "c": "42"}),
     ('{"a": 1}', [], {"a": 9, "n": None, "l": ["x"]}, False, "ok", [], {"a": "1", "n": None, "l": '["x"]'}),
-    ("not json at all", [], {}, False, "invalid_json", None, None),
-    ("[1, 2, 3]", [], {}, False, "not_object", None, None),
+    ("no object here", [], {}, False, "invalid_json", None, None),
+    ("[4, 5]", [], {}, False, "not_object", None, None),
+    ('{"k": 1} and more', ["k"], {}, False, "invalid_json", None, None),
+    ('{"k": 1}{"x": 1}', ["k"], {}, False, "invalid_json", None, None),
+    ('{"k": 1}] [{"x": 1}', ["k"], {}, False, "invalid_json", None, None),
+    ('{"k": 1, "k": 2, "a": 3}', ["k"], {}, False, "ok", [], {"k": "2", "a": "3"}),
     ("", [], {}, False, "invalid_json", None, None),
     (None, [], {}, False, "invalid_json", None, None),
 ])
