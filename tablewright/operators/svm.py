@@ -83,7 +83,9 @@ def fit_svr(vectors: DataFrame, c: float = 1.0, epsilon: float = EPSILON, rounds
             break
         model = LinearRegression(solver="normal", regParam=deviation / totals["w"], standardization=False,
                                  weightCol="weight").fit(pulled.where("weight > 0"))
-    return best
+    # Labels that hardly leave the tube are fitted best by a constant.
+    flat = LinearRegression(solver="normal", regParam=1e12, standardization=False).fit(vectors)
+    return min((best, flat), key=lambda m: svr_objective(m, vectors, c, epsilon))
 
 
 def svr_objective(model, vectors: DataFrame, c: float = 1.0, epsilon: float = EPSILON) -> float:
