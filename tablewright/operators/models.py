@@ -26,8 +26,8 @@ from tablewright.operators.prep import SEED, column_modes, fit_numeric, split
 from tablewright.operators.profile import Profile
 from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
-# Depth a tree without a depth limit gets.
-OPEN_DEPTH = 20
+# The deepest tree that Spark grows, and the depth of one without a limit.
+OPEN_DEPTH = 30
 # One-against-the-rest fits that run side by side.
 FITS_AT_ONCE = 4
 # The indexer keeps a column's categories on the driver.
@@ -107,8 +107,10 @@ def make_estimator(model: str, problem: str, hparams: dict, rows: int, classes:
     """The Spark estimator of a model name and its hyper-parameters."""
     classify = problem == "classification"
     depth = hparams.get("max_depth", None) or OPEN_DEPTH
+    if depth > OPEN_DEPTH:
+        raise ValueError(f"Spark grows trees to depth {OPEN_DEPTH}, not {depth}")
     leaf = max(hparams.get("min_samples_leaf", 1), math.ceil(hparams.get("min_samples_split", 2) / 2))
-    tree = {"maxDepth": min(depth, 30), "minInstancesPerNode": leaf, "seed": SEED, "maxMemoryInMB": 1024}
+    tree = {"maxDepth": depth, "minInstancesPerNode": leaf, "seed": SEED, "maxMemoryInMB": 1024}
     if model == "RandomForest":
         default = "sqrt" if classify else "all"
         make = RandomForestClassifier if classify else RandomForestRegressor
