@@ -159,6 +159,23 @@ def _(spark, sf):
     return model.transform(df).select(KEY, "y_cls", "prediction")
 
 
+@query("batch_scoring_one_feature", f"""with planted as ({VIEWS['planted']}) select o_orderkey,
+    round(regr_intercept(y_reg, x1) over () + regr_slope(y_reg, x1) over () * x1, 6) as prediction from planted""")
+def _(spark, sf):
+    planted = load(spark, sf, "planted")
+    model = G.fit_model(planted, "y_reg", "regression", "LinearRegression", numeric=["x1"])
+    return rounded(model.transform(planted).select(KEY, "prediction"))
+
+
+@query("model_artefact_same", "select o_orderkey, true as same from orders")
+def _(spark, sf):
+    df = regression_table(spark, sf)
+    model = fitted(spark, sf, "regression", "DecisionTree", {"max_depth": 5})[0]
+    again = G.FittedModel.load(save_model(model, shared_path(spark, "models")))
+    after = again.transform(df).select(KEY, F.col("prediction").alias("reloaded"))
+    return model.transform(df).join(after, KEY).select(KEY, (F.col("prediction") == F.col("reloaded")).alias("same"))
+
+
 @query("model_artefact")
 def _(spark, sf):
     """Rows whose prediction changes when the saved model is read back: none."""
