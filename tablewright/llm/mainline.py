@@ -39,7 +39,9 @@ ASIDE_NAMES = frozenset(
     "notice notices popup modal overlay newsletter subscribe subscription signup signin login sidebar widget widgets menu nav "
     "navbar navigation navi topbar toolbar breadcrumb breadcrumbs footer foot header masthead comment comments commentlist disqus respond "
     "replies reply reviews share sharing social related recommended recommendations pagination pager search skip alert paywall".split())
-CONTENT_NAMES = frozenset("content main article post body entry story text no has with without page wrapper container layout".split())
+# Beginnings that say what a page lacks or has, and ends that name what surrounds the article too.
+STATES = frozenset("no has with without".split())
+FRAMES = frozenset("layout page site grid".split())
 
 
 def _aside(name: str, attributes: str, in_zone: bool) -> bool:
@@ -57,7 +59,7 @@ def _aside(name: str, attributes: str, in_zone: bool) -> bool:
             parts = re.split(r"[-_]+", label)
             if in_zone and "header" in parts:
                 continue
-            if (parts[0] in ASIDE_NAMES or parts[-1] in ASIDE_NAMES) and not CONTENT_NAMES.intersection(parts):
+            if parts[0] not in STATES and (parts[-1] in ASIDE_NAMES or parts[0] in ASIDE_NAMES and parts[-1] not in FRAMES):
                 return True
     return False
 
