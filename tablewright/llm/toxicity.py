@@ -169,9 +169,12 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             chosen[entry] = share
     odds = np.log(rate / (1 - rate))
     weights = {entry: float(np.log(share / (1 - share)) - odds) for entry, share in chosen.items()}
-    model = ToxicityModel(weights, exceptions, (0.0, 0.0, 0.0))
+    model = ToxicityModel(weights, exceptions, (float(odds), 0.0, 0.0))
+    if not weights:  # nothing to tell texts apart by: all get the share of toxic ones
+        return model
     rows = _featured(sample, model, ["toxic"]).select("toxic", "x1", "x2").collect()
-    model.scale = _logistic(np.array([[r.x1, r.x2] for r in rows]), np.array([r.toxic for r in rows]))
+    a, b, c = _logistic(np.array([[r.x1, r.x2] for r in rows]), np.array([r.toxic for r in rows]))
+    model.scale = min(a, -0.1), b, c  # without a match a text is not toxic
     return model
 
 

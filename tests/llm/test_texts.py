@@ -192,6 +192,8 @@ def test_toxicity(spark):
     phrase = spark.createDataFrame([(1, " ".join(common[:20]) + " the villain of the play")], "doc_id long, text string")
     assert score_toxicity(phrase, model).first().predicted == 0
     assert folded("Sc0uNdrél") == folded("scoundrel")
+    few = fit_toxicity(labelled, labels.filter("doc_id < 12"))  # too few toxic texts to learn a word from
+    assert not few.weights and score_toxicity(labelled, few).filter("predicted = 1").count() == 0
     empty = fit_toxicity(labelled, labels.limit(0))
     assert score_toxicity(labelled.limit(3), empty).agg(F.max("score")).first()[0] < 0.01 and score_toxicity(labelled.limit(0), empty).count() == 0
 
