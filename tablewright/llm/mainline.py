@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from tablewright.llm.frames import quoted
 
-# Lines in a window, and the characters a window needs for a surge where no element is marked as the article.
-WINDOW, SURGE = 3, 80
+# Lines in a window, and the characters a window needs for a surge: outside and inside of elements marked as article or main part.
+WINDOW, SURGE, MARKED_SURGE = 3, 80, 20
 
 # Attribute values are bounded so that broken markup is still read in linear time; longer ones need no < or >.
 _INSIDE = r"(?:[^\"'<>]|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+"
@@ -150,12 +150,12 @@ def page_lines(html: str) -> list[tuple[str, int, str, int]]:
     return lines
 
 
-def between_surge_and_dive(sizes: list[int], surge: int) -> list[bool]:
-    """Lines of the stretches in which some window of WINDOW lines holds `surge` characters; a stretch ends at an empty line."""
+def between_surge_and_dive(sizes: list[int], inside: list[bool], surge: int) -> list[bool]:
+    """Lines of the stretches in which some window of WINDOW lines holds `surge` characters; a stretch ends at a line that is not inside."""
     keep, first = [False] * len(sizes), None
     sums = [0, *accumulate(sizes)]
     for i in range(len(sizes) + 1):
-        if i < len(sizes) and sizes[i]:
+        if i < len(sizes) and inside[i]:
             first = i if first is None else first
         elif first is not None:
             if any(sums[min(i, j + WINDOW)] - sums[j] >= surge for j in range(first, i)):
@@ -169,19 +169,22 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines = page_lines(html)
-    zone = next((z for z in ("article", "main") if any(x[2] == z for x in lines)), "")
-    if zone:  # only marked lines have a length, and any of them is a surge
-        kept = between_surge_and_dive([len(x[0]) if x[2] == zone else 0 for x in lines], 1)
-    else:  # lines that are mostly links have none
-        sizes = [len(x[0]) if 2 * x[1] < len(x[0]) else 0 for x in lines]
-        tops = [sum(sizes[i:i + WINDOW]) for i in range(len(sizes))]
-        kept = between_surge_and_dive(sizes, max(1, min(SURGE, max(tops, default=0))))
-        spans: dict[int, list[int]] = {}
-        for i, x in enumerate(lines):
-            if kept[i] and x[3]:
-                spans.setdefault(x[3], [i, i])[1] = i
-        # what stands in the same element as a kept line, links only between kept lines
-        kept = [k or x[3] in spans and (bool(sizes[i]) or spans[x[3]][0] < i < spans[x[3]][1]) for i, (k, x) in enumerate(zip(kept, lines))]
+    sizes = [len(x[0]) if 2 * x[1] < len(x[0]) else 0 for x in lines]  # lines that are mostly links have none
+    tops = {zone: max((sum(s for s, x in zip(sizes[i:i + WINDOW], lines[i:i + WINDOW]) if x[2] == zone) for i in range(len(lines))), default=0)
+            for zone in ("article", "main", "")}
+    marked = max(tops["article"], tops["main"])
+    kept = [False] * len(lines)
+    for zone in tops:  # a page with little text has a surge where it has most
+        surge = min(MARKED_SURGE, marked) if zone else SURGE if marked else min(SURGE, tops[zone])
+        inside = [x[2] == zone and bool(s or zone == "article" and x[0]) for s, x in zip(sizes, lines)]  # links do not end an article
+        found = between_surge_and_dive([s if k else 0 for s, k in zip(sizes, inside)], inside, max(1, surge))
+        kept = [a or b for a, b in zip(kept, found)]
+    spans: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if kept[i] and x[3]:
+            spans.setdefault(x[3], [i, i])[1] = i
+    # what stands in the same element as a kept line, links only between kept lines
+    kept = [k or x[3] in spans and (bool(sizes[i]) or spans[x[3]][0] < i < spans[x[3]][1]) for i, (k, x) in enumerate(zip(kept, lines))]
     return "\n".join(x[0] for x, k in zip(lines, kept) if k and x[0])
 
 
@@ -191,8 +194,9 @@ def main_texts(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     Markup is stripped to lines, one for each block element; scripts, styles, comments and elements that by tag,
     role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or reader comments leave empty
     lines. Text lengths are summed over sliding windows of lines; text from a surge back and forth to the next
-    empty line is kept. Where the page marks an article (or a main part), only its lines have a length; elsewhere
-    lines that are mostly links have none, and what stands in one element with kept text is kept. Character references are decoded, white space inside a line becomes one space.
+    empty line, line of links or border of a marked part is kept. Inside of elements marked as article or main part
+    a surge needs MARKED_SURGE characters, elsewhere SURGE; lines that are mostly links have no length, but do not
+    end a stretch of an article. What stands in one element with kept text is kept. Character references are decoded, white space inside a line becomes one space.
     A null or empty page gives an empty text; rows repeat as they are; other columns are not looked at. Memory
     follows the longest page.
     """

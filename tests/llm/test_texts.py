@@ -97,6 +97,16 @@ def test_main_text():
     assert main_text("<a \"" * 20_000 + "<!--") is not None
 
 
+def test_main_text_weighs_marked_and_unmarked_blocks():
+    body = "The body of this page stands in a plain block of the main part and is long enough to be a surge of text."
+    cards = "<article><h3><a href=/1>Card one</a></h3></article><article><h3><a href=/2>Card two</a></h3></article>"
+    assert main_text(f"<main><div><p>{body}<p>Short end.</div>{cards}</main>") == body + "\nShort end."
+    assert main_text(f"<div><p>{body}</div><article><p>teaser</article>").split("\n")[0] == body
+    assert main_text(f"<div>Tag line</div><article><h1><a href=/>Story</a></h1><p>{body}</article><div>Imprint</div>") == "Story\n" + body
+    assert main_text(f"<article><p>{body}</article><nav>x</nav><article><p>x, <a>more links</a></article>") == body
+    assert main_text("<main><p>Only a short notice.</main><div>Imprint</div>") == "Only a short notice."
+
+
 def test_main_texts_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>a</p>"), (1, "u", "<article>é x</article>")], "page_id long, url string, html string")
     got = main_texts(df.withColumn("text", F.lit("clash"))).collect()
