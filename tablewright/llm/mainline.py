@@ -14,15 +14,23 @@ from tablewright.llm.frames import quoted
 # Lines in a window, and the characters a window needs for a surge: outside and inside of elements marked as article or main part.
 WINDOW, SURGE, MARKED_SURGE = 3, 80, 20
 
-# Attribute values are bounded so that broken markup is still read in linear time; longer ones need no < or >.
-_INSIDE = r"(?:[^\"'<>]|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+"
+# Nothing is tried twice. Of tags that begin at different places at most three can read on at one place (outside of quotes,
+# in single or in double ones), and only the last quote of its kind can stay open, so broken markup is read in linear time too.
+_INSIDE = r"(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+"
 _RAW = "script|style|noscript|template|textarea|select|iframe|svg|math|object|canvas|audio|video|title"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
     rf"|<(?P<raw>{_RAW})\b{_INSIDE}>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
     rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attributes>{_INSIDE})>"
     r"|</?[a-z][^<>]*+>|</[^<>]*+>", re.I | re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Every attribute with a value, so that none is looked for in the value of another.
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'<>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+
+
+def _labels(attributes: str) -> list[tuple[str, str]]:
+    """(name, value) of class, id and role."""
+    return [(kind.lower(), "".join(values)) for kind, *values in _ATTRIBUTE.findall(attributes) if kind.lower() in ("class", "id", "role")]
+
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NESTED = frozenset("html body div section article main nav aside header footer form ul ol dl table menu dialog figure details "
@@ -50,9 +58,9 @@ def _aside(name: str, attributes: str, in_zone: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "a"):
         return False
-    for kind, *values in ATTRIBUTE.findall(attributes):
-        for label in "".join(values).lower().split():
-            if kind.lower() == "role":
+    for kind, value in _labels(attributes):
+        for label in value.lower().split():
+            if kind == "role":
                 if label in ASIDE_ROLES:
                     return True
                 continue
@@ -69,9 +77,9 @@ def _zone(name: str, attributes: str) -> str:
     if name in ("article", "main"):
         return name
     if attributes and "role" in attributes.lower():
-        for kind, *values in ATTRIBUTE.findall(attributes):
-            if kind.lower() == "role" and "".join(values).lower() in ZONE_ROLES:
-                return "".join(values).lower()
+        for kind, value in _labels(attributes):
+            if kind == "role" and value.lower() in ZONE_ROLES:
+                return value.lower()
     return ""
 
 

@@ -10,6 +10,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 
 import random
 import re
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -107,6 +108,21 @@ def test_main_text_weighs_marked_and_unmarked_blocks():
     assert main_text("<main><p>Only a short notice.</main><div>Imprint</div>") == "Only a short notice."
 
 
+def test_main_text_reads_long_attributes():
+    long = "x<i> &gt; " * 1_000
+    for quote in "'\"":
+        value = f"data-x={quote}{long}{quote}"
+        assert main_text(f"<p>before</p><script {value}>code()</script><p>after") == "before\nafter"
+        assert main_text(f"<article><p>before</p><aside {value}>aside</aside><div class=ad {value}>Buy!</div><p>after</article>") == "before\nafter"
+        assert main_text(f"<article {value}><p>Text of the article.</article><p>Imprint") == "Text of the article."
+        assert main_text(f"<div><article><p>One line of text<div {value}>two</div><p>three</article></div>") == "One line of text\ntwo\nthree"
+    assert main_text(f"<p>before</p><div data-x='<b class=\"ad\"> {long}'>text</div>") == "before\ntext"
+    for broken in ("<a \"", "<a \"'", "<a x='\">", "<a \"<b' ", "<a '", "<a x=y "):  # none may take quadratic time
+        start = time.perf_counter()
+        main_text(broken * 100_000 + "'" + "<a \"" + "<p x" * 100_000)
+        assert time.perf_counter() - start < 20
+
+
 def test_main_texts_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>a</p>"), (1, "u", "<article>é x</article>")], "page_id long, url string, html string")
     got = main_texts(df.withColumn("text", F.lit("clash"))).collect()
