@@ -12,11 +12,13 @@ FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 LETTERS, MONTHS = "abcdefghijklmnopqrstuvwxyz", "January February March April May June July August September October November December".split()
 
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
+# Stands before a credential; no other value is found without a digit or @.
+_LABEL = r"(?:password|passwd|token|secret|api[_-]?key)\s{0,2}[=:]"
 # In the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "credential": r"(?<=(?:password|passwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']{0,1})[0-9A-Za-z]{8,64}+(?![0-9A-Za-z])",
+    "credential": rf"(?<={_LABEL}\s{{0,2}}[\"']{{0,1}})[0-9A-Za-z]{{8,64}}+(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}(?<dash>[.-])[0-9]{3}\k<dash>[0-9]{4}(?![0-9]|[.-][0-9])",
@@ -27,7 +29,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
 # A look at the next characters first, as most places begin none; the order holds among those that begin alike.
-_BEGINNINGS = {"email": "(?=[A-Za-z0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "credential": "(?<=[\"'=: ])(?=[0-9A-Za-z]{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
+_BEGINNINGS = {"email": "(?=[A-Za-z0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "credential": r"(?<=[\"'=:\s])(?=[0-9A-Za-z]{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
+MAY_HAVE = f"[0-9@]|{_LABEL}"
 ANY = "|".join(_BEGINNINGS.get(name, "(?=[0-9+(])") + f"(?:{pattern})" for name, pattern in PATTERNS.items())
 # Stands around each value that was found; a text that has it already is searched twice instead.
 MARK = "\uE8D4"
@@ -289,7 +292,7 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY, back: bool
     source = quoted(text)
     marked = F.split(F.regexp_replace(source, ANY, f"{MARK}$0{MARK}"), MARK, -1)
     gaps = F.split(source, ANY, -1)
-    pieces = F.when(~source.rlike("[0-9]|@"), F.array(source)).when(F.instr(source, MARK) == 0, marked).otherwise(
+    pieces = F.when(~source.rlike(MAY_HAVE), F.array(source)).when(F.instr(source, MARK) == 0, marked).otherwise(
         F.flatten(F.zip_with(gaps, F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda gap, found: F.array(gap, found))))
     spare = max(map(len, df.columns), default=0)
     old, new = "o" * (spare + 1), "n" * (spare + 1)  # longer than any name in use

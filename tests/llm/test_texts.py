@@ -175,6 +175,17 @@ def test_pseudonyms_keep_format_links_and_come_back(spark):
     assert pseudonymised(df.limit(0)).count() == 0
 
 
+def test_credentials_in_texts_without_digits(spark):
+    texts = ["password: correcthorse", "password: correcthorse 7", "token:\tcorrecthorse", "secret =\n\"correcthorse\"", "api_key='correcthorse'",
+             "token:\tabcd1234", "secret:\nabcd1234", "a password or token, but correcthorse is none"]
+    df = texts_frame(spark, texts)
+    out = pseudonymised(df)
+    new = {r.doc_id: r.text for r in out.collect()}
+    assert all("correcthorse" not in new[i] and "abcd1234" not in new[i] for i in range(7)) and new[7] == texts[7]
+    assert len({re.findall("[a-z]{12}", new[i])[0] for i in range(5)}) == 1 and len({re.split(r"\s", new[i])[1] for i in (5, 6)}) == 1
+    assert {r.doc_id: r.text for r in pseudonymised(out, back=True).collect()} == dict(enumerate(texts))
+
+
 @pytest.fixture(scope="module")
 def licence_model(spark):
     return fit_licences(spark)
