@@ -190,7 +190,7 @@ def _ip(found: Column, key: str, back: bool) -> Column:
 
 
 def _iban(found: Column, key: str, back: bool) -> Column:
-    """Country and letters kept, the digits of the account permuted, the check digits follow."""
+    """Country and letters kept, all digits of the account permuted, the check digits follow."""
     def rest(text):  # as a number with letters from 10, modulo 97
         return F.aggregate(F.split(text, ""), F.lit(0), lambda at, c: F.when(c == "", at).when(
             c.between("0", "9"), (at * 10 + c.cast("int")) % 97).otherwise((at * 100 + F.ascii(c) - 55) % 97))
@@ -198,7 +198,9 @@ def _iban(found: Column, key: str, back: bool) -> Column:
     def change(plain):
         account, country = F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 2)
         digits = _only_digits(account)
-        body = _refilled(account, F.concat(_digits(F.substring(digits, 1, 18), "iban", key, back), F.substring(digits, F.lit(19), F.length(digits))))
+        # more than 18 do not fit a number
+        fresh = F.when(F.length(digits) <= 18, _digits(F.substring(digits, 1, 18), "iban", key, back)).otherwise(_string(digits, "iban", LETTERS, key, back))
+        body = _refilled(account, fresh)
         whole = let(body, lambda b: F.concat(F.lpad((98 - rest(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), _only_digits(b)))
         return F.when(rest(F.concat(account, F.substring(plain, 1, 4))) == 1, _refilled(found, whole)).otherwise(found)
 

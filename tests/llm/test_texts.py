@@ -186,6 +186,22 @@ def test_credentials_in_texts_without_digits(spark):
     assert {r.doc_id: r.text for r in pseudonymised(out, back=True).collect()} == dict(enumerate(texts))
 
 
+def test_all_digits_of_long_ibans_change(spark):
+    numbers = ["PL61109010140000071219812874", "HU42117730161111101800000000", "ES9121000418450200051332", "FR1420041010050500013M02606", "IT60X0542811101000000123456",
+               "MT84MALT011000012345MTLCAST001S", "DE89370400440532013000"]
+    tails = [f"PL{98 - int(f'1090101400000712198{n:05d}252100') % 97:02d}1090101400000712198{n:05d}" for n in range(40)]  # differ in the last digits only
+    texts = [*numbers, *tails, "PL61 1090 1014 0000 0712 1981 2874"]
+    out = pseudonymised(texts_frame(spark, texts))
+    new = {r.doc_id: r.text for r in out.collect()}
+    value = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4]))
+    for i, text in enumerate(numbers):
+        assert value(new[i]) % 97 == 1 and new[i] != text and re.sub("[0-9]", "0", new[i]) == re.sub("[0-9]", "0", text)
+    assert new[len(texts) - 1].replace(" ", "") == new[0] and len(set(new.values())) == len(texts)
+    for at in range(18, 24):  # no digit of the tail is copied
+        assert any(new[len(numbers) + k][4 + at] != t[4 + at] for k, t in enumerate(tails)), at
+    assert {r.doc_id: r.text for r in pseudonymised(out, back=True).collect()} == dict(enumerate(texts))
+
+
 @pytest.fixture(scope="module")
 def licence_model(spark):
     return fit_licences(spark)
