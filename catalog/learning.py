@@ -131,17 +131,17 @@ def _(spark, sf):
 
 @query("baselines_classification")
 def _(spark, sf):
-    return G.baselines(class_table(spark, sf), "y_cls", KEY, forest={"max_depth": 8})
+    return G.baselines(class_table(spark, sf), "y_cls", KEY)
 
 
 @query("baselines_regression")
 def _(spark, sf):
-    return G.baselines(regression_table(spark, sf), "y_reg", KEY, forest={"max_depth": 8})
+    return G.baselines(regression_table(spark, sf), "y_reg", KEY)
 
 
 @query("feature_importances")
 def _(spark, sf):
-    return fitted(spark, sf, "regression", "RandomForest", {"n_estimators": 20, "max_depth": 5})[0].importances()
+    return fitted(spark, sf, "regression", "RandomForest", {})[0].importances()
 
 
 @query("top_importances", f"""with i as ({VIEWS['run_importances']}), s as (select feature, round(avg(importance), 6) as importance
@@ -193,7 +193,7 @@ def _(spark, sf):
 @query("model_search")
 def _(spark, sf):
     search = H.Search(class_table(spark, sf), "y_cls", KEY, "classification")
-    history, _ = H.evolve(search, 4, 2, "LogisticRegression")
+    history, _ = H.evolve(search, model="LogisticRegression")
     search.close()
     return history
 
@@ -201,7 +201,7 @@ def _(spark, sf):
 @query("model_search_trees")
 def _(spark, sf):
     search = H.Search(regression_table(spark, sf), "y_reg", KEY, "regression")
-    _, candidates = H.evolve(search, 3, 2, "DecisionTree")
+    _, candidates = H.evolve(search, model="DecisionTree")
     search.close()
     return candidates
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 @query("model_search_v0")
 def _(spark, sf):
     search = H.Search(regression_table(spark, sf), "y_reg", KEY, "regression")
-    history, _ = H.evolve(search, 4, 2, "LinearRegression", H.Settings.v0())
+    history, _ = H.evolve(search, model="LinearRegression", settings=H.Settings.v0())
     search.close()
     return history
 
@@ -218,18 +218,18 @@ def _(spark, sf):
 def _(spark, sf):
     tables = {"planted_class": (class_table(spark, sf), "y_cls", KEY),
               "planted_regression": (regression_table(spark, sf), "y_reg", KEY)}
-    return leaderboard(benchmark(tables, size=3, generations=2, model="DecisionTree"))
+    return leaderboard(benchmark(tables))
 
 @query("supervised_run")
 def _(spark, sf):
     out = supervised_run(class_table(spark, sf), "y_cls", KEY, proposals=[{"name": "x12", "expr": "x1 + x2 * 0.66"}],
-                         drops=["num__x3"], model="LogisticRegression", size=3, generations=2)
+                         drops=["num__x3"], model="LogisticRegression")
     return out["review"]
 
 
 @query("unsupervised_run")
 def _(spark, sf):
-    return unsupervised_run(load(spark, sf, "blobs"), "id", ["x", "y"], starts=2, eps=0.5, min_samples=5)
+    return unsupervised_run(load(spark, sf, "blobs"), "id", ["x", "y"])
 
 
 # I

@@ -50,3 +50,35 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 7
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_learning_queries_use_the_defaults(monkeypatch):
+    from catalog import learning
+    calls = []
+
+    class Table:
+        def __getattr__(self, name):
+            return lambda *args, **more: self
+
+        def __getitem__(self, name):
+            return self
+
+        def __iter__(self):
+            return iter((self, self))
+
+    def note(*args, **more):
+        calls.append((args, more))
+        return Table()
+
+    for name in ("load", "benchmark", "supervised_run", "unsupervised_run", "leaderboard"):
+        monkeypatch.setattr(learning, name, note)
+    for module, name in ((learning.G, "baselines"), (learning.G, "train_final"), (learning.H, "Search"), (learning.H, "evolve")):
+        monkeypatch.setattr(module, name, note)
+    for name in ("baselines_classification", "baselines_regression", "feature_importances", "benchmark_leaderboard", "unsupervised_run",
+                 "model_search", "model_search_trees", "model_search_v0", "supervised_run"):
+        calls.clear()
+        entry.queries()[name](None, FOLDER)
+        for args, more in calls:
+            assert not {"forest", "size", "generations", "starts"} & set(more), name
+            assert not any(isinstance(a, int) for a in args) and not any(isinstance(a, dict) and "max_depth" in a for a in args), name
+        assert calls, name
