@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import permutations
 from random import Random
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -17,44 +18,68 @@ UNKNOWN, GRAMS = "unknown", (1, 2, 3)
 LEAST_PROBABILITY, LEAST_ALIKE = 0.5, 0.6
 # Variants of each text in the training set.
 VARIANTS = 12
+# Words that a line of a wrapped notice has at least in the training set.
+LEAST_WRAPPED = 6
 
 # Wording of licence notices, a family's notices one per line.
 TEMPLATES = {
-    "MIT": """Released under the MIT License
+    "MIT": """MIT License
+License: MIT
+Released under the MIT License
 The MIT License (MIT)
 Licensed under the MIT license
 This project is licensed under the terms of the MIT license
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0
+    "Apache-2.0": """Apache License
+License: Apache
+Apache License 2.0
+Licensed under the Apache License, Version 2.0
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License
 Apache License Version 2.0, January 2004
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS""",
-    "GPL-3.0": """This work is licensed under the GNU General Public License, version 3
+    "GPL-3.0": """GPLv3 License
+License: GPLv3
+This work is licensed under the GNU General Public License, version 3
 Licensed under the GNU General Public License v3.0
 GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
 it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version""",
-    "GPL-2.0": """This work is licensed under the GNU General Public License, version 2
+    "GPL-2.0": """GPLv2 License
+License: GPLv2
+This work is licensed under the GNU General Public License, version 2
 Licensed under the GNU General Public License v2.0
 GNU GENERAL PUBLIC LICENSE Version 2, June 1991
 it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version""",
-    "LGPL": """Licensed under the GNU Lesser General Public License, version 3
+    "LGPL": """LGPL License
+License: LGPL
+Licensed under the GNU Lesser General Public License, version 3
 GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999
 it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation""",
-    "AGPL-3.0": """Licensed under the GNU Affero General Public License, version 3
+    "AGPL-3.0": """AGPL License
+License: AGPL
+Licensed under the GNU Affero General Public License, version 3
 it under the terms of the GNU Affero General Public License as published by the Free Software Foundation""",
-    "BSD": """Licensed under the BSD 3-Clause License
+    "BSD": """BSD License
+License: BSD
+Licensed under the BSD 3-Clause License
 Released under the BSD license
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer""",
-    "MPL-2.0": """Licensed under the Mozilla Public License, version 2.0
+    "MPL-2.0": """Mozilla License
+License: MPL
+Licensed under the Mozilla Public License, version 2.0
 This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
-    "ISC": """Released under the ISC License
+    "ISC": """ISC License
+License: ISC
+Released under the ISC License
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted""",
-    "public-domain": """This is free and unencumbered software released into the public domain
+    "public-domain": """Public Domain
+License: CC0
+This is free and unencumbered software released into the public domain
 This work is dedicated to the public domain under CC0 1.0
 To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work""",
-    "CC-BY": """Licensed under CC BY 4.0
+    "CC-BY": """CC BY
+Licensed under CC BY 4.0
 This work is licensed under a Creative Commons Attribution 4.0 International License""",
     "CC-BY-SA": """Licensed under CC BY-SA 4.0
 This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License""",
@@ -85,7 +110,7 @@ The commission granted permission to build a house on the land
 They asked for permission and a copy of the documentation
 The university licensed the patent to a firm in the region
 The creative commons room is open for students and their works""".split("\n")
-# A paragraph without any of these, in lower case, is of the unknown class without being scored.
+# A paragraph without any of these, in lower case, and without an opening of TEMPLATES is of the unknown class without being scored.
 ANCHORS = ("licen", "copyright", "rights reserved", "apache", "gnu ", "lesser general", "mozilla", "creative commons", "cc by", "cc-by", "cc0",
            "public domain", "hereby granted", "redistribut", "permission", "required by applicable law", "extent possible under law")
 
@@ -106,6 +131,24 @@ def _plain_grams(line: str, n: int) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i:i + n]) for i in range(len(words) - n + 1)))
 
 
+def _opening() -> str:
+    """A regular expression for lower case that finds something in every text that can agree with a template: three of
+    its words in a row, or all of one that has fewer. A tree of their letters, so that a place is looked at once."""
+    tree: dict = {}
+    for line in "\n".join(TEMPLATES.values()).split("\n"):
+        words = _plain_grams(line, 1)
+        for gram in _plain_grams(line, 3) or [" ".join(order) for order in permutations(words)]:
+            at = tree
+            for c in gram + "$":
+                at = at.setdefault(c, {})
+
+    def written(at):
+        ways = [(r"(?![\p{L}\p{N}])" if c == "$" else r"[^\p{L}\p{N}]++" if c == " " else c) + written(after) for c, after in sorted(at.items())]
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")" if ways else ""
+
+    return r"(?<![\p{L}\p{N}])" + written(tree)
+
+
 def _featured(df: DataFrame) -> DataFrame:
     """Adds words, grams and the sparse vector of the one- to three-word grams of `paragraph` that the notices have."""
     df = df.withColumn("words", _words(F.col("paragraph")))
@@ -115,7 +158,7 @@ def _featured(df: DataFrame) -> DataFrame:
 
 
 def _examples() -> list[tuple[str, str, bool]]:
-    """(text, family, for calibration): notices as they are, with words lost or in other company; other paragraphs, and
+    """(text, family, for calibration): notices as they are, with words lost, in other company or wrapped; other paragraphs, and
     notices with their words shuffled, as unknown."""
     random, rows = Random(11), []
     syllables = "an er in on re ti es or te at en ha th ou ng le ro mi la so".split()
@@ -133,7 +176,13 @@ def _examples() -> list[tuple[str, str, bool]]:
     for text, family in sources:
         rows += [(v, family) for v in variants(text)]
         words = text.split()
-        for _ in range(VARIANTS // 2):
+        for _ in range(VARIANTS if len(words) > LEAST_WRAPPED and family != UNKNOWN else 0):
+            size = random.randint(LEAST_WRAPPED, len(words) - 1)
+            first = random.randint(0, len(words) - size)
+            part = " ".join(words[first:first + size])
+            shared = any(part.replace(";", ",") in other for name, texts in TEMPLATES.items() if name != family for other in texts.replace(";", ",").split("\n"))
+            rows.append((f"{noise(4)} {part} {noise(4)}", UNKNOWN if shared else family))  # several families have it
+        for _ in range(VARIANTS // 2 if len(words) > 2 else 0):  # the order of two says nothing
             random.shuffle(words)
             rows.append((f"{noise(8)} {' '.join(words[:random.randint(1, len(words))])} {noise(20)}", UNKNOWN))
     rows += [(noise(60), UNKNOWN) for _ in range(100)]
@@ -181,14 +230,17 @@ def scan_licences(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     alike (agreement with the nearest template of that family) and confirmed.
 
     Paragraphs are the lines of a text. `family` is the likeliest, or "unknown"; it is confirmed if it is likely
-    enough and shares enough three-word shingles (words of shorter notices) with a template. Null and empty texts
+    enough and shares enough three-word shingles with a template; one of one or two words shares words with a template
+    as short, of the longer of both. Lines that can't agree with a template are only scored if they have one of ANCHORS. Null and empty texts
     give no rows; rows that repeat give theirs again; other columns are not looked at.
     """
+    opening = _opening()
+
     def any_of(column):
         out = F.lit(False)
         for a in ANCHORS:
             out = out | column.contains(a)
-        return out
+        return out | column.rlike(opening)
 
     texts = df.select(quoted(key).alias("key"), quoted(text).alias("text")).filter(any_of(F.lower("text")))
     lines = texts.select("key", F.posexplode(F.split("text", "\n")).alias("place", "paragraph")).filter(any_of(F.lower("paragraph")))
@@ -205,7 +257,8 @@ def scan_licences(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     templates = F.create_map(*[x for family, lines in TEMPLATES.items() for x in (
         F.lit(family), F.array(*[F.array(*map(F.lit, _plain_grams(line, 3) or _plain_grams(line, 1))) for line in lines.split("\n")]))])
     alike = F.array_max(F.transform(F.element_at(templates, F.col("likely")), lambda t: F.size(F.array_intersect(F.col("own"), t))
-                                    / F.greatest(F.lit(1), F.least(F.size(t), F.size(F.col("own"))))))
+                                    / F.greatest(F.lit(1), F.when(F.size("words") < 3, F.greatest(F.size(t), F.size(F.col("own"))))
+                                                .otherwise(F.least(F.size(t), F.size(F.col("own")))))))
     scored = scored.withColumn("own", own).withColumn("alike", F.when(F.col("likely") != UNKNOWN, F.coalesce(alike, F.lit(0.0))).otherwise(F.lit(0.0)))
     confirmed = (F.col("likely") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("alike") >= LEAST_ALIKE)
     return scored.select(F.col("key").alias(key), "place", "paragraph", F.col("likely").alias("family"), "probability", "alike", confirmed.alias("confirmed"))

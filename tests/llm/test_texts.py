@@ -223,6 +223,17 @@ def test_licences(spark, licence_model):
     assert scan_licences(df.limit(0), licence_model).count() == 0 and document_licences(df.limit(0), licence_model).count() == 0
 
 
+def test_short_and_wrapped_notices(spark, licence_model):
+    lines = {"MIT License": "MIT", "License: MIT": "MIT", "Apache License": "Apache-2.0", "BSD license.": "BSD", "(GPLv3 License)": "GPL-3.0", "Public domain": "public-domain",
+             "to any person obtaining a copy of this software and associated documentation files": "MIT",
+             "you may not use this file except in compliance with the": "Apache-2.0", "source and binary forms, with or without modification, are": "BSD"}
+    others = ["Apache", "License", "the license", "Table reserved", "obtaining files", "The software", "license fees", "under the terms of the GNU General Public License as published by"]
+    texts = [*lines, *others, "words\n\n" + "\n".join(lines)]
+    got = {r.doc_id: r for r in document_licences(texts_frame(spark, texts), licence_model).collect()}
+    assert [got[i].licences for i in range(len(texts))] == [*lines.values(), *[""] * len(others), " ".join(sorted(set(lines.values())))]
+    assert {r.paragraph for r in scan_licences(texts_frame(spark, texts), licence_model).filter("confirmed").collect()} == set(lines)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     common = ["".join(rng.choices("aeioubdgkm", k=5)) for _ in range(60)]
