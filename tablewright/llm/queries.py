@@ -9,9 +9,12 @@ from tablewright.llm.licences import document_licences, fit_licences
 from tablewright.llm.mainline import main_texts
 from tablewright.llm.mixture import BLOCK_WORDS, mixed_documents
 from tablewright.llm.neardup import near_duplicates
+from tablewright.llm.phrases import LEAST_COUNT, LONGEST, TOP, collocations
 from tablewright.llm.pieces import encode_texts
 from tablewright.llm.pseudonyms import pseudonymised
+from tablewright.llm.subwords import fit_quality, score_quality
 from tablewright.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from tablewright.llm.trie import prefix_trie
 from tablewright.llm.vectors import near_vectors
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -132,6 +135,64 @@ def op10_sentencepiece(spark, folder):
     return encode_texts(load(spark, folder, "documents"), check=True)
 
 
+def op11_phrase_collocations(spark, folder):
+    return collocations(load(spark, folder, "documents"))
+
+
+PHRASE_SQL = f"""with
+    p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+    t as (select lang, sum(len(ws))::bigint as n from w group by lang),
+    g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as phrase from w, range(1, {LONGEST + 1}) s(m)),
+    f as (select lang, m, phrase, count(*) as a from g group by all having count(*) >= {LEAST_COUNT}),
+    c as (select *, string_split(phrase, ' ') as ws from f where m > 1),
+    k as (select c.*, k from c, range(1, {LONGEST}) s(k) where k < m),
+    j as (select k.lang, k.phrase, k.m, k.a, k.k, x.a as l, y.a as r, t.n, ((1000::hugeint * k.a * t.n) // (x.a::hugeint * y.a))::bigint as score
+      from k join f x on x.lang = k.lang and x.phrase = array_to_string(ws[1:k], ' ')
+      join f y on y.lang = k.lang and y.phrase = array_to_string(ws[k + 1:], ' ') join t on t.lang = k.lang),
+    b as (select * from j qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    i as (select lang, a, unnest(list_transform(range(1, m - s.q + 2), lambda o: array_to_string(ws[o:o + s.q - 1], ' '))) as phrase from c, range(2, {LONGEST}) s(q) where s.q < m),
+    h as (select lang, phrase, max(a) as longer from i group by all)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+    from b left join h using (lang, phrase) where longer is null or 100 * longer < 100 * a qualify rank <= {TOP}"""
+
+
+def op12_conversation_trie(spark, folder):
+    return prefix_trie(load(spark, folder, "conversations"))
+
+
+def op13_quality_classifier(spark, folder):
+    documents = load(spark, folder, "documents")
+    labels = load(spark, folder, "labels").select("doc_id", "quality").filter(~held_out())
+    scored = score_quality(documents, fit_quality(documents, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+# Bit by bit over the bytes of decimal ids; DuckDB has no function for it.
+CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+    lambda c, b: list_reduce([1, 1, 1, 1, 1, 1, 1, 1]::bigint[], lambda d, o: case when d & o = 1 then xor(d >> 1, 3988292384) else d >> 1 end, xor(c, b)), 4294967295::bigint))"""
+
+TRIE_SQL = f"""with
+    o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as i,
+        coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    h as (select distinct conv_id, conv_id - conv_id % 20 as base, {CRC_SQL} % 4 as h from o),
+    t as (select h.conv_id, o.i, role, text from h join o on o.conv_id = h.base and o.i <= h
+      union all select h.conv_id, o.i + 1000000, role, text from h join o on o.conv_id = h.conv_id and o.i > h),
+    s as (select conv_id, row_number() over (partition by conv_id order by i) as d, length(role)::varchar || ':' || role || text as turn, text from t),
+    p as (select conv_id, d, string_agg(length(turn)::varchar || ':' || turn, '') over (partition by conv_id order by d) as path,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, max(d) over (partition by conv_id) as size from s
+      union all select h.conv_id, 0, '', 0, (select count(*) from s where s.conv_id = h.conv_id) from h),
+    n as (select path, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = size), '')) as ends_sha256 from p group by path),
+    u as (select distinct a.path, b.path as up, b.d as up_depth, a.d from p a join p b on a.conv_id = b.conv_id and b.d <= a.d),
+    k as (select up as path, count(*) as n_children from u where d = up_depth + 1 group by up),
+    b as (select u.up as path, count(*) filter (k.path is null) as n_leaves, sum((n.n_convs - 1) * n.words)::bigint as saved_tokens
+      from u join n using (path) left join k using (path) group by u.up)
+    select n.conv_id, n.depth::bigint as depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, n.ends_sha256
+    from n join b using (path) left join k using (path) left join (select u.path, m.conv_id from u join n m on m.path = u.up where u.d = u.up_depth + 1) up on up.path = n.path"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -143,6 +204,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 COSINE_SQL = """with recursive
     v as (select vec_id, embedding::double[] as e from embeddings),
@@ -160,4 +224,6 @@ ORACLES = {
     "op2_minhash_near_dedup": NEAR_SQL,
     "op7_source_mixing": MIX_SQL,
     "op8_embedding_near_dedup": COSINE_SQL,
+    "op11_phrase_collocations": PHRASE_SQL,
+    "op12_conversation_trie": TRIE_SQL,
 }
