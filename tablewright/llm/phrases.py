@@ -19,8 +19,12 @@ from tablewright.llm.frames import quoted, small_or_not, stored
 from tablewright.llm.textblocks import Block, blocks, mix, powers
 
 LEAST_COUNT, LONGEST, TOP, ABSORBED = 100, 5, 2_000, 100
+# Bits of a fingerprint that the shuffle counts by; fewer let more phrases be counted together, which adds candidates only.
+PRINT_BITS = 40
 # Bits that mark frequent fingerprints: 8 MB in each task. A fuller map lets more through to the next pass, never less.
 MARK_BITS = 1 << 26
+# Where in a fingerprint its two places in the map begin.
+PLACES = (0, PRINT_BITS - 26)
 # Counts of several blocks go to the shuffle together.
 FLUSH_ENTRIES = 1 << 21
 # A language's candidates are ranked in so many parts before the best of these are ranked together.
@@ -65,13 +69,13 @@ class Pieces:
         if count <= 0:
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self.piece[:count] == self.piece[n - 1:])
-        return mix((self._sums[at + n] - self._sums[at]) * powers(_INVERSE, count)[at] + np.uint64(n)), at
+        return mix((self._sums[at + n] - self._sums[at]) * powers(_INVERSE, count)[at] + np.uint64(n)) & np.uint64((1 << PRINT_BITS) - 1), at
 
 
 def marked(marks: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Whether both bits of each fingerprint are set."""
     out = np.ones(len(prints), dtype=bool)
-    for shift in (0, 32):
+    for shift in PLACES:
         place = (prints >> np.uint64(shift)) & np.uint64(MARK_BITS - 1)
         out &= (marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
@@ -126,7 +130,7 @@ def _counted(texts: DataFrame, sizes: tuple[int, ...], part: int | None, marks:
 def _mark(counted: DataFrame, least: int, marks: np.ndarray) -> np.ndarray:
     """Adds the bits of fingerprints counted `least` times; the driver gets set bits only, MARK_BITS at most."""
     frequent = counted.filter(F.col("n") >= least)
-    place = F.explode(F.array(*[F.shiftrightunsigned("print", s).bitwiseAND(F.lit(MARK_BITS - 1)) for s in (0, 32)]))
+    place = F.explode(F.array(*[F.shiftrightunsigned("print", s).bitwiseAND(F.lit(MARK_BITS - 1)) for s in PLACES]))
     bits = (frequent.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
             .groupBy("word").agg(F.bit_or("bit").alias("bits"))).toArrow()
     words = np.zeros(MARK_BITS // 64, dtype=np.int64)
