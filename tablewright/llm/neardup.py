@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.functions.session import BROADCAST_ROWS
 from tablewright.llm.components import components
 from tablewright.llm.frames import one_row_per_key, quoted, small_or_not, stored
-from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix
+from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix, released
 
 BANDS, ROWS = 40, 6
 # A pair whose signatures agree in this much less than the threshold is not compared; over five standard errors.
@@ -89,7 +89,7 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     [batch.column(0).slice(first, block.n), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), band_list, mark_list],
                     ["key", "n_shingles", "s1", "s2", "bands", "marks"])
 
-    return df.mapInArrow(run, "key long, n_shingles long, s1 long, s2 long, bands array<long>, marks binary")
+    return df.mapInArrow(released(run), "key long, n_shingles long, s1 long, s2 long, bands array<long>, marks binary")
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) -> DataFrame:

@@ -14,11 +14,12 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 from tablewright.llm.frames import quoted
+from tablewright.llm.textblocks import released
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Characters of texts and of unseen segments that are indexed together, and segments whose pieces are remembered.
-BATCH_CHARS, INDEX_CHARS, REMEMBERED = 1 << 20, 1 << 18, 400_000
+BATCH_CHARS, INDEX_CHARS, REMEMBERED = 1 << 20, 1 << 18, 100_000
 # Longer segments are merged one by one.
 LONG = 48
 NEVER = np.int32(2**31 - 1)
@@ -248,16 +249,16 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.numbers = _Numbers()
         self.flat, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         if len(self.numbers) > REMEMBERED:
-            self._forget()
+            self.forget()
         seen, segments = len(self.numbers), self.vocab.segments
         split = [segments(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
         parts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -322,9 +323,10 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 if check:
                     columns.append(pa.array([new == (old or "").replace(SPACE, " ") for new, old in zip(decode_rows(ids, counts, encoder.vocab), texts)]))
                 yield pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(n)), "ids", "n_tokens", *(["round_trip"] if check else [])])
+        encoder.forget()
 
     chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("text"))
-    out = chosen.mapInArrow(run, _kinds(df, keep) + "ids array<int>, n_tokens long" + ", round_trip boolean" * check)
+    out = chosen.mapInArrow(released(run), _kinds(df, keep) + "ids array<int>, n_tokens long" + ", round_trip boolean" * check)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,18 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def released(run: Callable) -> Callable:
+    """`run` over the batches of a partition, after which the worker gives the memory it no longer uses back to the system."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def powers(base: int, size: int) -> np.ndarray:
     """base ** 0 .. base ** (size - 1) modulo 2 ** 64, kept between blocks."""
     known = _powers.get(base)

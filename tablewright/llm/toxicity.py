@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
@@ -13,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.frames import quoted, stored
+from tablewright.llm.textblocks import released
 
 # Letters of other scripts that look like Latin ones, digits and signs used in place of letters.
 HOMOGLYPHS = dict(zip("абвгеёзікмнорстухцѕјһԁԛԝαβγεηικνορτυχωɑɡı", "abbreezikmhopctyxucjhdqwabyenikvoptuxwagi"))
@@ -22,8 +22,10 @@ SIGNS = {"@": "a", "$": "s", "!": "l", "|": "l", "€": "e"}
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "pond scum", "soap scum",
               "loser bracket", "worthless check")
 
-# Rows of labels that a fit takes, by hash (about; all of a smaller table), entries of the lexicon and of the list it is chosen from.
-SAMPLE_ROWS, LEXICON, CANDIDATES = 20_000, 2_000, 20_000
+# Rows of labels that a fit takes, by hash (about; all of a smaller table).
+SAMPLE_ROWS = 20_000
+# Different entries that a task counts before they go to the shuffle.
+HELD_ENTRIES = 100_000
 PREFIXES = (4, 5, 6, 7)
 # An entry stands in this many toxic texts at least, and in this share of toxic ones among all it stands in.
 LEAST_TEXTS, LEAST_SHARE, LEAST_Z = 8, 0.75, 6.0
@@ -99,21 +101,26 @@ def _features(weight: float, text: str) -> tuple[float, float]:
     return float(np.log1p(weight)), float(np.log1p(100 * weight / (text.count(" ") + 10)))
 
 
-def _count(sample: DataFrame, chosen: set[str] | None) -> DataFrame:
-    """(entry, toxic, n) by task: all entries of toxic texts, or the chosen ones of all texts."""
+def _count(sample: DataFrame) -> DataFrame:
+    """(entry, clean, bad): texts of either label that each entry stands in."""
     def run(batches):
-        totals = Counter(), Counter()
+        counts: dict[str, list[int]] = {}
+
+        def flush():
+            pairs = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["entry", "clean", "bad"])
+
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                if chosen is not None:
-                    totals[toxic].update(chosen.intersection(_entries(folded(text))))
-                elif toxic:
-                    totals[1].update(_entries(folded(text)))
-        for toxic in (0, 1):
-            names, counts = list(totals[toxic]), list(totals[toxic].values())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic] * len(names), pa.int32()), pa.array(counts, pa.int64())], ["entry", "toxic", "n"])
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+                for entry in _entries(folded(text.as_py())):
+                    counts.setdefault(entry, [0, 0])[toxic] += 1
+                if len(counts) >= HELD_ENTRIES:
+                    yield flush()
+                    counts.clear()
+        yield flush()
 
-    return sample.mapInArrow(run, "entry string, toxic int, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
+    return (sample.select("text", "toxic").mapInArrow(released(run), "entry string, clean long, bad long")
+            .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -137,7 +144,8 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     Rows with a null key or label don't count; a key labelled twice is toxic if one label says so. Entries are whole
     words or word beginnings; a longer entry goes where a shorter one is as sure. No labels or no toxic ones give an
-    empty lexicon. Only the sample's keys, at most LEXICON entries and CANDIDATES candidates pass through the driver.
+    empty lexicon. The shares are tested where they are
+    counted; only the sample's keys and the entries that pass reach the driver.
     """
     known = (labels.select(quoted(key).alias("key"), quoted(toxic).cast("int").alias("toxic")).dropna()
              .groupBy("key").agg(F.least(F.lit(1), F.max("toxic")).alias("toxic")))
@@ -152,18 +160,11 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     if not 0 < rate < 1:
         return ToxicityModel({}, exceptions, (30.0 if rate else -30.0, 0.0, 0.0))
 
-    first = _count(sample, None).filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
-    counts: dict[str, list[int]] = {}
-    for entry, label, number in _count(sample, {r["entry"] for r in first.select("entry").collect()}).collect():
-        counts.setdefault(entry, [0, 0])[label] = number
-    scored = []
-    for entry, (clean, bad) in counts.items():
-        texts_with = clean + bad
-        z = (bad - texts_with * rate) / np.sqrt(texts_with * rate * (1 - rate))
-        if bad >= LEAST_TEXTS and bad >= LEAST_SHARE * texts_with and z >= LEAST_Z:
-            scored.append((float(z), entry, (bad + 0.5) / (texts_with + 1)))
+    both = F.col("clean") + F.col("bad")
+    z = (F.col("bad") - both * rate) / F.sqrt(both * (rate * (1 - rate)))
+    toxic_ones = _count(sample).filter((F.col("bad") >= LEAST_TEXTS) & (F.col("bad") >= LEAST_SHARE * both) & (z >= LEAST_Z))
     chosen: dict[str, float] = {}
-    for z, entry, share in sorted(sorted(scored, reverse=True)[:LEXICON], key=lambda x: (len(x[1]), x[1])):
+    for entry, share in sorted(toxic_ones.select("entry", ((F.col("bad") + 0.5) / (both + 1)).alias("share")).collect(), key=lambda x: (len(x[0]), x[0])):
         shorter = [chosen[entry[:k]] for k in range(1, len(entry)) if entry[:k] in chosen]
         if not any(other >= share - 0.02 for other in shorter):
             chosen[entry] = share
@@ -192,7 +193,7 @@ def _featured(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values[:, 0]), pa.array(values[:, 1])], [*keep, "x1", "x2"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return df.select(*keep, "text").mapInArrow(run, kinds + "x1 double, x2 double")
+    return df.select(*keep, "text").mapInArrow(released(run), kinds + "x1 double, x2 double")
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
