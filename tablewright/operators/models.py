@@ -7,13 +7,10 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer, classification, regression
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-    RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (
     IndexToString, OneHotEncoder, PolynomialExpansion, SQLTransformer, StringIndexer, VectorAssembler)
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,12 +18,13 @@ from tablewright.functions.columns import ref, scrub_nonfinite
 from tablewright.functions.session import spread
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators import metrics as M
+from tablewright.operators.forest import Forest, ForestModel, TreeRules
 from tablewright.operators.knn import knn_predict
 from tablewright.operators.prep import SEED, column_modes, fit_numeric, split
 from tablewright.operators.profile import Profile
 from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
-# The deepest tree that Spark grows, and the depth of one without a limit.
+# The deepest tree that Spark's boosting grows.
 OPEN_DEPTH = 30
 # One-against-the-rest fits that run side by side.
 FITS_AT_ONCE = 4
@@ -103,24 +101,29 @@ def feature_names(prep: PipelineModel) -> list[str]:
     return out
 
 
-def make_estimator(model: str, problem: str, hparams: dict, rows: int, classes: int):
-    """The Spark estimator of a model name and its hyper-parameters."""
+def tree_rules(model: str, problem: str, hparams: dict, classes: int) -> TreeRules:
+    """How the trees of a forest or a single tree grow."""
     classify = problem == "classification"
-    depth = hparams.get("max_depth", None) or OPEN_DEPTH
-    if depth > OPEN_DEPTH:
-        raise ValueError(f"Spark grows trees to depth {OPEN_DEPTH}, not {depth}")
-    leaf = max(hparams.get("min_samples_leaf", 1), math.ceil(hparams.get("min_samples_split", 2) / 2))
-    tree = {"maxDepth": depth, "minInstancesPerNode": leaf, "seed": SEED, "maxMemoryInMB": 1024}
-    if model == "RandomForest":
-        default = "sqrt" if classify else "all"
-        make = RandomForestClassifier if classify else RandomForestRegressor
-        return make(numTrees=hparams.get("n_estimators", 100), cacheNodeIds=True,
-                    featureSubsetStrategy=str(hparams.get("max_features", default)), **tree)
+    common = {"depth": hparams.get("max_depth"), "split_rows": hparams.get("min_samples_split", 2),
+              "leaf_rows": hparams.get("min_samples_leaf", 1), "classes": classes if classify else 0, "seed": SEED}
     if model == "DecisionTree":
-        return (DecisionTreeClassifier if classify else DecisionTreeRegressor)(**tree)
+        return TreeRules(**common)
+    return TreeRules(trees=hparams.get("n_estimators", 100), drawn=True,
+                     columns=hparams.get("max_features", "sqrt" if classify else "all"), **common)
+
+
+def make_estimator(model: str, problem: str, hparams: dict, rows: int, classes: int, key: str | None = None):
+    """The estimator of a model name and its hyper-parameters."""
+    classify = problem == "classification"
+    if model in ("RandomForest", "DecisionTree"):
+        return Forest(tree_rules(model, problem, hparams, classes), key)
     if model == "GradientBoosting":
-        boost = dict(tree, maxIter=hparams.get("n_estimators", 100), maxDepth=hparams.get("max_depth", 3),
-                     stepSize=hparams.get("learning_rate", 0.1))
+        depth = hparams.get("max_depth", 3) or OPEN_DEPTH
+        if depth > OPEN_DEPTH:
+            raise ValueError(f"Spark boosts trees to depth {OPEN_DEPTH}, not {depth}")
+        leaf = max(hparams.get("min_samples_leaf", 1), math.ceil(hparams.get("min_samples_split", 2) / 2))
+        boost = {"maxIter": hparams.get("n_estimators", 100), "maxDepth": depth, "stepSize": hparams.get("learning_rate", 0.1),
+                 "minInstancesPerNode": leaf, "seed": SEED, "maxMemoryInMB": 1024}
         if not classify:
             return GBTRegressor(**boost)
         single = GBTClassifier(**boost)
@@ -189,7 +192,10 @@ class FittedModel:
         if isinstance(self.predictor, KnnModel):
             raise ValueError("a kNN model is its training table; write that table instead")
         self.prep.write().overwrite().save(f"{path}/prep")
-        self.predictor.write().overwrite().save(f"{path}/predictor")
+        if isinstance(self.predictor, ForestModel):
+            self.predictor.save(f"{path}/predictor")
+        else:
+            self.predictor.write().overwrite().save(f"{path}/predictor")
         meta = {"model": self.model, "problem": self.problem, "labels": self.labels,
                 "target": self.target, "class": type(self.predictor).__name__, "expand": None}
         if isinstance(self.expand, FourierFeatures):
@@ -203,7 +209,8 @@ class FittedModel:
     @staticmethod
     def load(path: str) -> "FittedModel":
         meta = json.loads(_session().read.text(f"{path}/meta").first()[0])
-        kind = getattr(classification, meta["class"], None) or getattr(regression, meta["class"])
+        kind = ForestModel if meta["class"] == "ForestModel" else (
+            getattr(classification, meta["class"], None) or getattr(regression, meta["class"]))
         expand = meta["expand"]
         if expand is not None:
             expand = FourierFeatures(**expand) if "seed" in expand else _polynomial(expand["degree"])
@@ -259,7 +266,7 @@ def fit_model(train: DataFrame, target: str, problem: str, model: str, hparams:
         predictor = fit_svr(fit_on, hparams.get("C", 1.0))
     else:
         rows = slim.count()
-        predictor = make_estimator(model, problem, hparams, rows, len(labels or [])).fit(fit_on)
+        predictor = make_estimator(model, problem, hparams, rows, len(labels or []), key).fit(fit_on)
     if expand is not None:
         fit_on.unpersist()
     slim.unpersist()

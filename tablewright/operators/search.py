@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablewright.functions.columns import as_double, families, ref
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators import metrics as M
-from tablewright.operators.models import KnnModel, index_labels, make_estimator
+from tablewright.operators import forest as T
+from tablewright.operators.models import KnnModel, index_labels, make_estimator, tree_rules
 from tablewright.operators.prep import fit_numeric, folds
 from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
@@ -263,20 +264,35 @@ class Search:
         if candidate.model == "SVM" and self.problem == "regression":
             fitted = fit_svr(widen(train), candidate.hparams.get("C", 1.0))
         else:
-            fitted = make_estimator(candidate.model, self.problem, candidate.hparams, rows, self.classes).fit(widen(train))
+            fitted = make_estimator(candidate.model, self.problem, candidate.hparams, rows, self.classes, self.key).fit(widen(train))
         return lambda t: fitted.transform(widen(t))
 
+    def _tree_predictions(self, candidate: Candidate, chosen: list[str]) -> DataFrame:
+        """Held-out predictions of the trees of all folds, grown in one job; the last part fits and scores all rows."""
+        rules = tree_rules(candidate.model, self.problem, candidate.hparams, self.classes)
+        filled = F.array(*[F.struct(F.lit(p).alias("part"), F.array(*[prep.scaled(self.table, c).cast("double") for c in chosen]).alias("x"))
+                           for p, prep in enumerate(self.preps)])
+        rows = self.table.select(F.xxhash64(self.key).alias("id"), "label", "fold", F.explode(filled).alias("of"))
+        last = F.col("of.part") == self.k
+        rows = rows.select("of.part", "id", "of.x", F.col("label").cast("double").alias("label"),
+                           (last | (F.col("fold") != F.col("of.part"))).alias("trained"), (last | (F.col("fold") == F.col("of.part"))).alias("held"))
+        votes = T.fold_votes(rows, rules, self.k + 1)
+        return votes.select(F.col("part").alias("fold"), "label", T.decided(F.col("votes"), rules).alias("pred"))
+
     def evaluate(self, candidate: Candidate) -> dict | None:
         """mu, sigma, gap, complexity and fitness; None when it cannot be fitted."""
         chosen = [c for c, bit in zip(self.features, candidate.mask) if bit and c in self.usable]
         if not chosen:
             return None
         predictions = None
-        for fold, ((train, held_out), prep) in enumerate(zip(self.parts, self.preps)):
-            predict = self._fit(candidate, self._vectors(train, prep, chosen), self.sizes[fold])
-            rows = predict(self._vectors(held_out, prep, chosen)).select(
-                F.lit(fold).alias("fold"), "label", F.col("prediction").alias("pred"))
-            predictions = rows if predictions is None else predictions.unionByName(rows)
+        if candidate.model in ("RandomForest", "DecisionTree") and self.rows <= T.LOCAL_ROWS:
+            predictions = self._tree_predictions(candidate, chosen)
+        else:
+            for fold, ((train, held_out), prep) in enumerate(zip(self.parts, self.preps)):
+                predict = self._fit(candidate, self._vectors(train, prep, chosen), self.sizes[fold])
+                rows = predict(self._vectors(held_out, prep, chosen)).select(
+                    F.lit(fold).alias("fold"), "label", F.col("prediction").alias("pred"))
+                predictions = rows if predictions is None else predictions.unionByName(rows)
         score = "accuracy" if self.problem == "classification" else "r2"
         per_fold = {r["fold"]: r[score] for r in
                     M.metrics(predictions, self.problem, by=("fold",), digits=None).collect()}
