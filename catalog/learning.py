@@ -208,12 +208,46 @@ def _(spark, sf):
 
 @query("model_search_v0")
 def _(spark, sf):
-    search = H.Search(regression_table(spark, sf), "y_reg", KEY, "regression")
+    search = H.Search(regression_table(spark, sf), "y_reg", KEY, "regression", scoring=H.Scoring.v0())
     history, _ = H.evolve(search, model="LinearRegression", settings=H.Settings.v0())
     search.close()
     return history
 
 
+@query("model_search_v0_one_feature", f"""with o as (select o_orderkey, x1, y_reg, rank() over (order by {hash_sql(KEY)}) - 1 as before, count(*) over () as total
+      from ({VIEWS['planted']}) p),
+    s as (select *, before >= total - ceil(0.2::double * total) as test from o),
+    f as (select regr_slope(y_reg, x1) as b, regr_intercept(y_reg, x1) as a from s where not test),
+    m as (select avg(y_reg) as mean from s where test),
+    r as (select 1 - sum((y_reg - a - b * x1) * (y_reg - a - b * x1)) / sum((y_reg - mean) * (y_reg - mean)) as fitness from s, f, m where test)
+    select gen, round(fitness, 4) as best_fitness, round(fitness, 4) as avg_fitness, 'LinearRegression' as best_model, 1 as num_features, '{{}}' as best_hparams
+    from r, range(1, 6) g(gen)""")
+def _(spark, sf):
+    table = load(spark, sf, "planted").select(KEY, "x1", "y_reg")
+    search = H.Search(table, "y_reg", KEY, "regression", scoring=H.Scoring.v0())
+    history, _ = H.evolve(search, model="LinearRegression", settings=H.Settings.v0())
+    search.close()
+    return history.withColumn("gen", F.col("gen").cast("long"))
+
+
+@query("model_search_linear_folds", f"""with o as (select o_orderkey, x1, y_reg, rank() over (order by {hash_sql(KEY)}) - 1 as before, count(*) over () as total
+      from ({VIEWS['planted']}) p),
+    s as (select *, least(4, case when before < (total // 5 + 1) * (total % 5) then before // (total // 5 + 1)
+      else total % 5 + (before - (total // 5 + 1) * (total % 5)) // (total // 5) end) as fold from o),
+    f as (select g.fold, regr_slope(y_reg, x1) as b, regr_intercept(y_reg, x1) as a from s, range(5) g(fold) where s.fold <> g.fold group by g.fold),
+    m as (select fold, avg(y_reg) as mean from s group by fold),
+    r as (select fold, 1 - sum((y_reg - a - b * x1) * (y_reg - a - b * x1)) / sum((y_reg - mean) * (y_reg - mean)) as r2 from s join f using (fold) join m using (fold) group by fold),
+    w as (select regr_r2(y_reg, x1) as r2 from s)
+    select round(avg(r.r2), 6) as mu, round(stddev_pop(r.r2), 6) as sigma, round(greatest(0, round(max(w.r2), 4) - avg(r.r2)), 6) as gap from r, w""")
+def _(spark, sf):
+    table = load(spark, sf, "planted").select(KEY, "x1", "y_reg")
+    search = H.Search(table, "y_reg", KEY, "regression")
+    got = search.evaluate(H.Candidate("LinearRegression", {}, [1]))
+    search.close()
+    row = tuple(got[c] for c in ("mu", "sigma", "gap"))
+    return rounded(spark.createDataFrame([row], "mu double, sigma double, gap double"))
+
+
 @query("benchmark_leaderboard")
 def _(spark, sf):
     tables = {"planted_class": (class_table(spark, sf), "y_cls", KEY),

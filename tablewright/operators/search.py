@@ -8,16 +8,19 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import as_double, families, ref
+from tablewright.functions.session import spread
 from tablewright.functions.tables import half_up, small_table
 from tablewright.operators import metrics as M
 from tablewright.operators import forest as T
+from tablewright.operators import linear_pass as P
 from tablewright.operators.models import KnnModel, index_labels, make_estimator, tree_rules
-from tablewright.operators.prep import fit_numeric, folds
+from tablewright.operators.prep import fit_numeric, folds, split
 from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
 
 # Fitness weights.
@@ -71,6 +74,29 @@ class Settings:
         return min(wanted, size)
 
 
+@dataclass(frozen=True)
+class Scoring:
+    """How a candidate is judged: `parts` of rows held out in turn, and with `whole` a fit on all rows for the gap.
+
+    `current` takes stratified folds and weighs mean, spread, gap and complexity; `v0` holds the last fifth of the rows in
+    hash order out once and adds a tenth of the share of features left out; a failure scores 0 there.
+    """
+    parts: int = FOLDS
+    whole: bool = True
+    failed: float = FAILED
+    older: bool = False
+
+    @staticmethod
+    def v0() -> "Scoring":
+        return Scoring(1, False, 0.0, True)
+
+    def marked(self, df: DataFrame, key: str, problem: str) -> DataFrame:
+        """Adds `fold`: the part that holds a row out; a number beyond the parts for rows that only train."""
+        if self.older:
+            return split(df, [key]).withColumn("fold", (F.col("split") != "test").cast("int")).drop("split")
+        return folds(df, [key], "label" if problem == "classification" else None, self.parts)
+
+
 # Operators on candidate, fold and history tables.
 
 def cross_validated(predictions: DataFrame, problem: str, by=("model",)) -> DataFrame:
@@ -218,11 +244,12 @@ class Search:
     """
 
     def __init__(self, df: DataFrame, target: str, key: str, problem: str, features: list[str] | None = None,
-                 risk: float = DEFAULT_RISK, threads: int = 4, k: int = FOLDS):
+                 risk: float = DEFAULT_RISK, threads: int = 4, scoring: Scoring = Scoring()):
         kinds = families(df)
         self.features = features or [c for c in df.columns if c not in (target, key)]
         self.usable = [c for c in self.features if kinds[c] in ("numeric", "boolean")]
-        self.problem, self.risk, self.threads, self.k, self.key = problem, risk, threads, k, key
+        self.problem, self.risk, self.threads, self.key = problem, risk, threads, key
+        self.scoring, self.k = scoring, scoring.parts
         self.spark = df.sparkSession
         value = lambda c: as_double(df, c) if kinds[c] == "numeric" else ref(c).cast("double")
         slim = df.where(ref(target).isNotNull()).select(
@@ -233,13 +260,14 @@ class Search:
             self.classes = len(labels)
         else:
             slim = slim.withColumn("label", F.col("_y").cast("double"))
-        self.table = folds(slim.drop("_y"), [key], "label" if problem == "classification" else None, k).persist()
+        self.table = spread(scoring.marked(slim.drop("_y"), key, problem), key).persist()
         self.rows = self.table.count()
         self.parts = [(self.table.where(F.col("fold") != f), self.table.where(F.col("fold") == f))
-                      for f in range(k)] + [(self.table, self.table)]
+                      for f in range(self.k)] + [(self.table, self.table)] * scoring.whole
         self.sizes = [train.count() for train, _ in self.parts]
         self.preps = [fit_numeric(train, self.usable) for train, _ in self.parts]
         self.memo: dict[str, dict | None] = {}
+        self.grams: np.ndarray | None = None
 
     def close(self) -> None:
         self.table.unpersist()
@@ -276,14 +304,33 @@ class Search:
         last = F.col("of.part") == self.k
         rows = rows.select("of.part", "id", "of.x", F.col("label").cast("double").alias("label"),
                            (last | (F.col("fold") != F.col("of.part"))).alias("trained"), (last | (F.col("fold") == F.col("of.part"))).alias("held"))
-        votes = T.fold_votes(rows, rules, self.k + 1)
+        votes = T.fold_votes(rows, rules, len(self.parts))
         return votes.select(F.col("part").alias("fold"), "label", T.decided(F.col("votes"), rules).alias("pred"))
 
+    def _chosen(self, candidate: Candidate) -> list[str]:
+        return [c for c, bit in zip(self.features, candidate.mask) if bit and c in self.usable]
+
+    def _least_squares(self, chosen: list[str]) -> list[float | None]:
+        """R2 by part from the sums of products of one pass, which all candidates share."""
+        if self.grams is None:
+            center = self.table.agg(F.avg("label")).first()[0] or 0.0
+            self.grams = P.fold_grams(self.table, P.Prepared.of(self.preps, self.usable), self.k, center)
+        places, out = [self.usable.index(c) for c in chosen], []
+        for part, grams in enumerate(self.grams):
+            all_rows = grams.sum(axis=0)
+            held = grams[part] if part < self.k else all_rows
+            out.append(P.least_squares_r2(all_rows - grams[part] if part < self.k else all_rows, held, places))
+        return out
+
     def evaluate(self, candidate: Candidate) -> dict | None:
         """mu, sigma, gap, complexity and fitness; None when it cannot be fitted."""
-        chosen = [c for c, bit in zip(self.features, candidate.mask) if bit and c in self.usable]
+        chosen = self._chosen(candidate)
         if not chosen:
             return None
+        if candidate.model == "LinearRegression" and self.problem == "regression":
+            return self._judged(candidate, self._least_squares(chosen))
+        if candidate.model == "LogisticRegression" and self.problem == "classification":
+            return self._logistic([candidate])[0]
         predictions = None
         if candidate.model in ("RandomForest", "DecisionTree") and self.rows <= T.LOCAL_ROWS:
             predictions = self._tree_predictions(candidate, chosen)
@@ -294,15 +341,30 @@ class Search:
                     F.lit(fold).alias("fold"), "label", F.col("prediction").alias("pred"))
                 predictions = rows if predictions is None else predictions.unionByName(rows)
         score = "accuracy" if self.problem == "classification" else "r2"
-        per_fold = {r["fold"]: r[score] for r in
+        per_part = {r["fold"]: r[score] for r in
                     M.metrics(predictions, self.problem, by=("fold",), digits=None).collect()}
-        values = [per_fold[f] for f in range(self.k)]
-        mu = sum(values) / self.k
+        return self._judged(candidate, [per_part.get(p) for p in range(len(self.parts))])
+
+    def _logistic(self, candidates: list[Candidate]) -> list[dict | None]:
+        """Scores of logistic candidates, which take their Newton steps in the same passes."""
+        wanted = [([self.usable.index(c) for c in self._chosen(x)], x.hparams.get("C", 1.0)) for x in candidates]
+        fitted = iter(P.logistic_accuracy(self.table, P.Prepared.of(self.preps, self.usable), self.k, [w for w in wanted if w[0]], self.classes, self.sizes)
+                      if any(w[0] for w in wanted) else [])
+        return [self._judged(x, next(fitted)) if w[0] else None for x, w in zip(candidates, wanted)]
+
+    def _judged(self, candidate: Candidate, values: list[float | None]) -> dict | None:
+        """A candidate's row from its scores by part."""
+        if any(v is None for v in values):
+            return None
+        held = values[:self.k]
+        mu = sum(held) / self.k
         row = {"model": candidate.model, "n_estimators": candidate.hparams.get("n_estimators", 100),
-               "max_depth": candidate.hparams.get("max_depth", 10),
-               "n_selected": sum(candidate.mask), "n_features": len(self.features), "mu": mu,
-               "sigma": (sum((v - mu) ** 2 for v in values) / self.k) ** 0.5,
-               "gap": max(0.0, half_up(per_fold[self.k], 4) - mu)}
+               "max_depth": candidate.hparams.get("max_depth", 10), "n_selected": sum(candidate.mask),
+               "n_features": len(self.features), "mu": mu, "sigma": (sum((v - mu) ** 2 for v in held) / self.k) ** 0.5,
+               "gap": max(0.0, half_up(values[self.k], 4) - mu) if self.scoring.whole else None}
+        if self.scoring.older:
+            table = small_table(self.spark, [(mu, row["n_selected"], row["n_features"])], "score double, n_selected int, n_features int")
+            return {"mu": mu, "sigma": None, "gap": None, "complexity": None, "fitness": fitness_v0(table).first()["fitness"]}
         table = small_table(self.spark, [tuple(row.values())],
                             "model string, n_estimators int, max_depth int, n_selected int, "
                             "n_features int, mu double, sigma double, gap double")
@@ -318,11 +380,18 @@ class Search:
 
     def score_all(self, population: list[Candidate]) -> None:
         unseen = {c.identity(): c for c in population if c.identity() not in self.memo}
+        together = {i: c for i, c in unseen.items() if c.model == "LogisticRegression" and self.problem == "classification"}
+        if together:
+            self.memo.update(zip(together, self._logistic(list(together.values()))))
+        alone = {i: c for i, c in unseen.items() if i not in together}
+        linear = [c for c in alone.values() if c.model == "LinearRegression" and self._chosen(c)]
+        if linear and self.problem == "regression":
+            self._least_squares(self._chosen(linear[0]))  # the shared pass, before threads need it
         with ThreadPoolExecutor(self.threads) as pool:
-            self.memo.update(zip(unseen, pool.map(self._attempt, unseen.values())))
+            self.memo.update(zip(alone, pool.map(self._attempt, alone.values())))
         for c in population:
             c.scores = self.memo[c.identity()] or {"mu": None, "sigma": None, "gap": None,
-                                                   "complexity": None, "fitness": FAILED}
+                                                   "complexity": None, "fitness": self.scoring.failed}
 
 
 def evolve(search: Search, size: int = 10, generations: int = 5, model: str | None = None,
