@@ -13,12 +13,12 @@ LETTERS, MONTHS = "abcdefghijklmnopqrstuvwxyz", "January February March April Ma
 
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
 # Stands before a credential; no other value is found without a digit or @.
-_LABEL = r"(?:password|passwd|token|secret|api[_-]?key)\s{0,2}[=:]"
+_LABEL = r"(?i:password|passwd|token|secret|api[_-]?key)\s{0,2}[=:]"
 # In the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "credential": rf"(?<={_LABEL}\s{{0,2}}[\"']{{0,1}})[0-9A-Za-z]{{8,64}}+(?![0-9A-Za-z])",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "credential": rf"(?<={_LABEL}\s{{0,2}}[\"']{{0,1}})[^\s\"']{{8,}}+",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
              r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}(?<dash>[.-])[0-9]{3}\k<dash>[0-9]{4}(?![0-9]|[.-][0-9])",
@@ -29,7 +29,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
 # A look at the next characters first, as most places begin none; the order holds among those that begin alike.
-_BEGINNINGS = {"email": "(?=[A-Za-z0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "credential": r"(?<=[\"'=:\s])(?=[0-9A-Za-z]{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
+_BEGINNINGS = {"email": r"(?=[\p{L}0-9._%+-])", "secret": "(?=[0-9a-f]{8})", "credential": r"(?<=[\"'=:\s])(?=[^\s\"']{8})", "iban": "(?=[A-Z]{2}[0-9])", "date": "(?=[0-9JFMASOND])"}
 MAY_HAVE = f"[0-9@]|{_LABEL}"
 ANY = "|".join(_BEGINNINGS.get(name, "(?=[0-9+(])") + f"(?:{pattern})" for name, pattern in PATTERNS.items())
 # Stands around each value that was found; a text that has it already is searched twice instead.
@@ -261,7 +261,7 @@ def _credential(found: Column, key: str, back: bool) -> Column:
 
 
 def _kind(found: Column) -> Column:
-    kind = F.when(found.rlike("^[0-9A-Za-z]{8,64}$"), F.lit("credential"))  # the word before it is not part of it
+    kind = F.lit("credential")  # the word before it is not part of it, so it is what matches nothing else
     for name, pattern in reversed(PATTERNS.items()):
         kind = F.when(found.rlike("^(?:" + pattern + ")$"), F.lit(name)).otherwise(kind)
     return kind

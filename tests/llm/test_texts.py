@@ -149,6 +149,25 @@ PERSONAL = """Mail ann.b-19@mail5.example.com or x@y.org, card 4785380592391139,
 GB82WEST12345698765432. Born 2020-02-29, 29.02.2020, 29 February 2020, not 2021-02-30. token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" password=208f79cc07c0ef31d7"""
 
 
+def test_pseudonyms_of_long_and_mixed_credentials(spark):
+    """Labels in any case, credentials up to the next white space or quote, values of any length, letters of any script."""
+    values = ["correcthorse", "Tr0ub4dor&3xyz", "sk_live_0a1B2c3D4e", "abcd-efgh-ijkl", "x9" * 300]
+    texts = [f"{label}{v} end" for label in ("Password: ", "PASSWORD=", "api_key=", 'Token: "') for v in values]
+    texts += ["a" * 90 + "1@example.org wrote", "mail jörg.müller@example.de now", "f0" * 64 + " is a digest", "no secret here: at all"]
+    out = {r.doc_id: r.text for r in pseudonymised(texts_frame(spark, texts)).collect()}
+    for i, text in enumerate(texts[:-1]):
+        assert out[i] != text and len(out[i]) == len(text)
+        inside = text.replace('"', " ").split(" ")[-2] if i < 20 else max(text.split(" "), key=len)
+        assert inside.split("=")[-1] not in out[i]
+    assert "Tr0ub4dor&" not in out[1] and out[1].endswith(" end") and "&" in out[1]
+    assert out[21].split(" ")[1].endswith("@example.de") and out[21].split(" ")[1][1] == "ö" and not out[21].startswith("mail jörg")
+    assert out[len(texts) - 1] == texts[-1]
+    linked = {out[i].split("=")[-1] for i in range(len(texts)) if texts[i].endswith("=correcthorse end")}
+    assert len(linked) == 1
+    back = {r.doc_id: r.text for r in pseudonymised(pseudonymised(texts_frame(spark, texts)), back=True).collect()}
+    assert back == dict(enumerate(texts))
+
+
 def test_pseudonyms_keep_format_links_and_come_back(spark):
     texts = ODD_TEXTS + [PERSONAL, "again 4785380592391139 and ann.b-19@mail5.example.com, 2020-02-29", "1.2.3.4", " 1.2.3.4 ", "no number"]
     df = texts_frame(spark, texts)
