@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from tablewright.llm.components import components
 from tablewright.llm.frames import one_row_per_key, quoted, small_or_not, stored
 
-# Tables of buckets, hash functions for a bucket, and buckets besides its own that a vector is put into. Two unrelated
-# vectors of 64 numbers meet with probability 8e-5, two at cosine 0.9 with 0.999; five functions are due from 1e7 vectors on.
-TABLES, FUNCTIONS, PROBES = 10, 4, 12
+# Hash functions for a bucket, and buckets besides its own that a vector is put into. Two unrelated vectors of 64 numbers meet
+# with probability 1e-4, two at cosine 0.9 with 0.999; five functions are due from 1e7 vectors on.
+FUNCTIONS, PROBES = 4, 12
+
+
+def tables_for(size: int) -> int:
+    """Tables of buckets for vectors of a width: the wider they are, the less often one table brings two near ones together."""
+    return max(12, 4 * max(0, size - 1).bit_length() - 20)
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -28,13 +33,14 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES, seed: int = 5) -> np.ndarray:
+def buckets(x: np.ndarray, tables: int | None = None, functions: int = FUNCTIONS, probes: int = PROBES, seed: int = 5) -> np.ndarray:
     """Keys of the 1 + `probes` buckets of each row in each table.
 
     A function flips signs and applies a fast Hadamard transform, three times; its value is the largest coordinate
     by size, with its sign. The probes change one function's value to the next largest, the smallest losses first.
     """
     n, size = x.shape
+    tables = tables or tables_for(size)
     width = 1 << max(0, size - 1).bit_length()
     padded = np.zeros((n, width), dtype=np.float64)
     padded[:, :size] = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -83,15 +89,14 @@ def _matrices(column: pa.Array):
         yield rows, flat[begins[rows][:, None] + np.arange(size)]
 
 
-def _hashed(vectors: DataFrame, tables: int, functions: int, probes: int) -> DataFrame:
+def _hashed(vectors: DataFrame, tables: int | None, functions: int, probes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            every = tables * (1 + probes)
-            keys = np.zeros((batch.num_rows, every), dtype=np.uint64)
             for rows, matrix in _matrices(batch.column("vector")):
-                keys[rows] = buckets(matrix, tables, functions, probes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * every), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], ["key", "buckets"])
+                keys = buckets(matrix, tables, functions, probes)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), lists], ["key", "buckets"])
 
     return vectors.select("key", "vector").mapInArrow(run, "key long, buckets array<long>").select("key", F.explode(F.array_distinct("buckets")).alias("bucket"))
 
@@ -116,7 +121,7 @@ def _angle(cosine: str):
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-                 tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES) -> DataFrame:
+                 tables: int | None = None, functions: int = FUNCTIONS, probes: int = PROBES) -> DataFrame:
     """Key, n_links, component_id (smallest key reachable by links, itself included) and kept (key = component_id).
 
     Vectors are linked when they share a bucket, or their groups do, and their cosine in double precision is at

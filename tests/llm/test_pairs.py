@@ -21,7 +21,7 @@ import corpus_pipeline
 from tablewright.llm import mixture, queries
 from tablewright.llm.components import components
 from tablewright.llm.neardup import near_duplicates, without_near_duplicates
-from tablewright.llm.vectors import near_vectors
+from tablewright.llm.vectors import buckets, near_vectors
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -209,3 +209,17 @@ def test_pipeline(spark):
             assert after.columns == docs.columns
         before = after
     assert before.filter("n_tokens <> size(ids) or n_tokens = 0").count() == 0
+
+
+@pytest.mark.parametrize("size, least", [(64, 0.99), (384, 0.97), (768, 0.96), (1536, 0.95)])
+def test_recall_of_buckets_by_width(size, least):
+    """Pairs at a cosine of exactly 0.9 that share a bucket."""
+    rng = np.random.default_rng(size)
+    a = rng.normal(size=(300, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(300, size))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = np.mean([len(set(x) & set(y)) > 0 for x, y in zip(buckets(a).tolist(), buckets(b).tolist())])
+    print(size, met)
+    assert met >= least
