@@ -10,14 +10,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Words in a block; blocks of a source are ordered by 60-bit hashes, first by their 12 high bits.
 BLOCK_WORDS, LOW_BITS = 512, 48
 WEIGHTS, SHARE, MOST_PASSES, SHARDS = (3, 1, 2), 1.5, 2, 16
+# Copies of a row that a task numbers at once, and rows of a shard that are shuffled together.
+COPIES, SLICE_ROWS = 10_000, 100_000
+
+
+def _doc(key: Column, source: Column, text: Column) -> Column:
+    """Digest of a row's key, source and text; null is a key and a source of its own, and the empty text."""
+    named = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in (key, source)]
+    return F.md5(F.concat_ws("\x01", *named, F.coalesce(text, F.lit(""))))
 
 
 def sized_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source, size (words of the text); a key that repeats, also null, is one document: its smallest source and size."""
+    """key, source, size (words of the text), doc and copy of every row.
+
+    Every row is a document, whatever its key. `doc` is a digest of key, source and text, `copy` counts the rows that
+    agree in all three from 0. Copies are counted before they are numbered, in steps of COPIES.
+    """
     size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = df.select(quoted(key).alias("key"), quoted(source).alias("source"), size.alias("size"))
-    least = F.min(F.struct("source", "size")).alias("row")
-    return stored(sized.groupBy("key").agg(least).select("key", "row.source", "row.size"), "sized")
+    sized = df.select(quoted(key).alias("key"), quoted(source).alias("source"), size.alias("size"), _doc(quoted(key), quoted(source), quoted(text)).alias("doc"))
+    least = F.min(F.struct("key", "source", "size")).alias("row")
+    counted = stored(sized.groupBy("doc").agg(least, F.count("*").alias("copies")).select("row.*", "doc", "copies"), "counted")
+    if counted.filter("copies > 1").isEmpty():
+        return counted.drop("copies").withColumn("copy", F.lit(0).cast("long"))
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("doc", "step")
+    copies = F.explode(F.sequence(F.col("step") * COPIES, F.least(F.col("copies"), (F.col("step") + 1) * COPIES) - 1))
+    return stored(steps.select("key", "source", "size", "doc", copies.alias("copy")), "sized")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
@@ -44,14 +61,14 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def ranked_blocks(sized: DataFrame, seed: str = "mix") -> DataFrame:
-    """key, source, block, words, rank and words_before of every block in its source's permuted order.
+    """doc, copy, source, block, words, rank and words_before of every block in its source's permuted order.
 
     The order is by hash. Counts for the high bits of the hash give the offsets of its ranges, a window only ever
     holds one range of one source.
     """
     last = F.ceil(F.col("size") / BLOCK_WORDS).cast("int") - 1
-    blocks = sized.filter("size > 0").select("key", "source", "size", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-    mark = F.md5(F.concat_ws(":", F.lit(seed), F.col("key").cast("string"), F.col("block").cast("string")))
+    blocks = sized.filter("size > 0").select("doc", "copy", "source", "size", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    mark = F.md5(F.concat_ws(":", F.lit(seed), "doc", F.col("copy").cast("string"), F.col("block").cast("string")))
     blocks = (blocks.withColumn("hash", F.conv(F.substring(mark, 1, 15), 16, 10).cast("long"))
               .withColumn("words", F.least(F.lit(BLOCK_WORDS), F.col("size") - BLOCK_WORDS * F.col("block")).cast("long"))
               .withColumn("range", F.shiftright("hash", LOW_BITS)))
@@ -60,12 +77,12 @@ def ranked_blocks(sized: DataFrame, seed: str = "mix") -> DataFrame:
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
                             F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w_before"))
-    inside = Window.partitionBy("source", "range").orderBy("hash", "key", "block", "words")
+    inside = Window.partitionBy("source", "range").orderBy("hash", "doc", "copy", "block")
     placed = (blocks.withColumn("nth", F.row_number().over(inside) - 1)
               .withColumn("inner", F.coalesce(F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     same = placed["source"].eqNullSafe(offsets["source"]) & (placed["range"] == offsets["range"])
     return placed.join(offsets, same).select(
-        placed["key"], placed["source"], "block", "words", "hash", (F.col("n_before") + F.col("nth")).alias("rank"),
+        "doc", "copy", placed["source"], "block", "words", "hash", (F.col("n_before") + F.col("nth")).alias("rank"),
         (F.col("w_before") + F.col("inner")).alias("words_before"))
 
 
@@ -143,10 +160,10 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") ->
 
 
 def mixture(sized: DataFrame, targets: DataFrame, shards: int = SHARDS, passes: int = MOST_PASSES, seed: str = "mix") -> DataFrame:
-    """key, source, block, words, pass, shard and spot of every block that is drawn; a block comes once for each pass.
+    """doc, copy, source, block, words, pass, shard and spot of every block that is drawn; a block comes once for each pass.
 
-    Draws of a source are disjoint: its blocks in permuted order, pass after pass, up to its quota, in ranges by
-    shard. `spot` is the random order inside a shard, see `write_shards`.
+    Draws of a source are disjoint: its blocks in permuted order, pass after pass, in the ranges that the tree gives
+    to the shards; what is in no shard's range is not drawn. `spot` is the random order inside a shard.
     """
     ranked = stored(ranked_blocks(sized, seed), "ranked")
     quotas = stored(source_quotas(ranked, targets), "quotas")
@@ -159,40 +176,59 @@ def mixture(sized: DataFrame, targets: DataFrame, shards: int = SHARDS, passes:
         "draw", F.col("rank") + F.col("pass") * F.col("n_blocks"))
     shard = F.filter("ranges", lambda x: (x["first"] <= F.col("draw")) & (F.col("draw") < x["until"]))
     return (draws.withColumn("shard", F.get(shard, F.lit(0))["shard"]).filter("shard is not null")
-            .select("key", "source", "block", "words", "pass", "shard", F.xxhash64("hash", "pass", "shard").alias("spot")))
+            .select("doc", "copy", "source", "block", "words", "pass", "shard", F.xxhash64("hash", "pass", "shard").alias("spot")))
 
 
-def drawn_texts(df: DataFrame, drawn: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` once for each pass that draws from them, with the words of the drawn blocks as their text.
+def shard_rows(df: DataFrame, drawn: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """shard, spot and row: a row of `df` for each shard and pass that draws from it, with the words of these blocks as its text.
 
-    A text of which a pass takes all blocks stays as it is; of others the drawn blocks stand in their order with the
-    white space that follows each word. Rows without a drawn block go; a key that repeats counts as its first row
-    in the order of its columns, null keys each for itself.
+    A text of which all blocks are drawn stays as it is; of others the drawn blocks stand in their order with the
+    white space that follows each word. Rows without a drawn block go. Rows that agree in key, source and text are
+    drawn by themselves, each as the first of them in the order of its columns. `spot` is that of the first block drawn.
     """
-    takes = drawn.groupBy("key", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken")).withColumnRenamed("key", "k")
-    rows = one_row_per_key(df.select(quoted(key).alias("key"), quoted(text).alias("text"), F.struct(*map(quoted, df.columns)).alias("row")))
-    joined = rows.join(takes, rows["key"].eqNullSafe(F.col("k")))
+    takes = drawn.groupBy(F.col("doc").alias("d"), "copy", "pass", "shard").agg(
+        F.sort_array(F.collect_list("block")).alias("taken"), F.min("spot").alias("spot"))
+    rows = one_row_per_key(df.select(_doc(*map(quoted, (key, source, text))).alias("key"), quoted(text).alias("text"), F.struct(*map(quoted, df.columns)).alias("row")))
+    joined = rows.join(takes, rows["key"] == F.col("d"))
     parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     taken = F.transform("taken", lambda i: F.array_join(F.slice(parts, i * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)), ""))
     whole = F.ceil(F.regexp_count("text", F.lit(WORD)) / BLOCK_WORDS) == F.size("taken")
     new = F.when(whole, F.col("text")).otherwise(F.array_join(taken, ""))
-    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
+    return joined.select("shard", "spot", F.struct(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns]).alias("row"))
+
+
+def shuffled_locally(rows: DataFrame, draws: int, shards: int = SHARDS) -> DataFrame:
+    """`rows` by shard and by slice of its random order, in that order inside each partition.
+
+    With `draws` rows in all a slice has about SLICE_ROWS, so that no task sorts a whole shard of a large mixture.
+    """
+    slices = draws // (shards * SLICE_ROWS) + 1
+    part = F.floor((F.col("spot") / float(1 << 63) + 1) / 2 * slices).alias("slice")
+    return rows.withColumn("slice", part).repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "spot").drop("slice")
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """Writes drawn rows by shard, in random order inside each file."""
-    rows.repartitionByRange("shard", "spot").sortWithinPartitions("shard", "spot").write.partitionBy("shard").parquet(path)
+def drawn_texts(df: DataFrame, drawn: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The columns of `df` of `shard_rows`, shuffled locally: shard after shard in a partition, each in its random order."""
+    rows = shuffled_locally(shard_rows(df, drawn, key, source, text), drawn.count(), shards)
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
-def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Key, size, source_size, target and taken (words in drawn blocks) of every document.
+def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """Key, size, source_size, target and shard_words (words that each shard draws, passes counted) of every row.
 
-    A null text has size 0; null is a source like any other, and a key like any other; a key that repeats is one
-    document; documents without words take none. An empty table gives an empty result.
+    A null text has size 0; null is a source like any other; rows are documents of their own also where keys repeat
+    or are null; documents without words have zeros. An empty table gives an empty result. The table of sources and a
+    row of quotas with a number for each source are held by one task: a source is a collection, not a host or author.
     """
+    if key in ("size", "source_size", "target", "shard_words"):
+        raise ValueError(f"a key can't be named {key}, like a result")
     sized = sized_documents(df, key, source, text)
     targets = stored(source_targets(sized), "targets")
-    taken = mixture(sized, targets).groupBy("key").agg(F.sum("words").alias("taken")).withColumnRenamed("key", "k")
+    blocks = mixture(sized, targets, shards).groupBy(F.col("doc").alias("d"), F.col("copy").alias("c")).agg(
+        F.collect_list(F.struct("shard", "words")).alias("blocks"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.aggregate(
+        F.coalesce("blocks", F.array().cast("array<struct<shard: int, words: long>>")), F.lit(0).cast("long"),
+        lambda at, x: at + F.when(x["shard"] == i, x["words"]).otherwise(0)))
     rows = sized.join(small_or_not(targets.withColumnRenamed("source", "s")), sized["source"].eqNullSafe(F.col("s")))
-    return (rows.join(taken, rows["key"].eqNullSafe(F.col("k")), "left")
-            .select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+    return (rows.join(blocks, (rows["doc"] == F.col("d")) & (rows["copy"] == F.col("c")), "left")
+            .select(F.col("key").alias(key), "size", "source_size", "target", words.alias("shard_words")))

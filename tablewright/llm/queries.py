@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import quality as quality_rules
 from tablewright.llm.frames import load
 from tablewright.llm.language import fit_languages, identify_languages
@@ -102,25 +104,30 @@ def op6_licence_scan(spark, folder):
 
 
 def op7_source_mixing(spark, folder):
-    return mixed_documents(load(spark, folder, "documents"))
+    mixed = mixed_documents(load(spark, folder, "documents"))
+    taken = F.aggregate("shard_words", F.lit(0).cast("long"), lambda at, x: at + x)
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-MIX_SQL = f"""with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
+# Rows that agree in all of id, source and text are told apart by their number; the order of blocks has a digest of these.
+MIX_SQL = f"""with r as (select doc_id, source, len({WORDS})::bigint as size,
+        md5(concat_ws(chr(1), coalesce('=' || doc_id, '-'), coalesce('=' || source, '-'), coalesce(text, ''))) as doc from documents),
+    d as (select *, row_number() over (partition by doc) - 1 as copy from r),
     s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as i from d group by source),
     s1 as (select *, [3.0::double, 1.0, 2.0][(i % 3 + 1)::int] as weight, 2.0::double * source_size as cap from s0),
     s2 as (select *, cap / weight as fill from s1),
     s3 as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
       from s2 window w as (order by fill, source nulls last rows between unbounded preceding and 1 preceding)),
     t as (select source, source_size, least(cap, weight * (select level from s3 where fill >= level order by fill, source nulls last limit 1)) as target from s3),
-    b0 as (select doc_id, source, size, unnest(range(0, ceil(size / {BLOCK_WORDS}.0)::bigint)) as block from d),
+    b0 as (select doc, copy, source, size, unnest(range(0, ceil(size / {BLOCK_WORDS}.0)::bigint)) as block from d),
     b as (select *, least({BLOCK_WORDS}, size - {BLOCK_WORDS} * block) as words,
-        ('0x' || md5(concat_ws(':', 'mix', doc_id, block))[:15])::bigint as hash from b0),
-    c as (select b.*, target, source_size, coalesce(sum(words) over (partition by b.source order by hash, doc_id, block
+        ('0x' || md5(concat_ws(':', 'mix', doc, copy, block))[:15])::bigint as hash from b0),
+    c as (select b.*, target, source_size, coalesce(sum(words) over (partition by b.source order by hash, doc, copy, block
         rows between unbounded preceding and 1 preceding), 0) as before from b join t on b.source is not distinct from t.source),
-    k as (select doc_id, sum(words * (floor(target / source_size) + (2 * before + words <= 2 * (target - floor(target / source_size) * source_size))::int)) as taken
-      from c group by doc_id)
+    k as (select doc, copy, sum(words * (floor(target / source_size) + (2 * before + words <= 2 * (target - floor(target / source_size) * source_size))::int)) as taken
+      from c group by doc, copy)
     select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken
-    from d join t on d.source is not distinct from t.source left join k using (doc_id)"""
+    from d join t on d.source is not distinct from t.source left join k using (doc, copy)"""
 
 
 def op8_embedding_near_dedup(spark, folder):

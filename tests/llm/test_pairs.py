@@ -145,18 +145,82 @@ def test_mixture(spark):
     assert max(free) - min(free) < 1e-6 * total
     drawn = mixture.mixture(sized, mixture.source_targets(sized), shards=5).cache()
     blocks = drawn.collect()
-    assert len({(r.key, r.block, r["pass"]) for r in blocks}) == len(blocks)
+    assert len({(r.doc, r.copy, r.block, r["pass"]) for r in blocks}) == len(blocks)
     per_shard = [sum(r.shard == s for r in blocks) for s in range(5)]
     assert max(per_shard) - min(per_shard) <= 3
     for source, row in targets.items():
         got = sum(r.words for r in blocks if r.source == source)
         assert abs(got - row.target) <= 512
-    taken = {r.doc_id: r for r in mixture.mixed_documents(df).collect()}
-    assert len(taken) == 303 + 0 and all(r.taken <= 2 * r.size for r in taken.values())
-    assert [tuple(r) for r in mixture.mixed_documents(df).orderBy("doc_id").collect()] == [tuple(r) for r in mixture.mixed_documents(df).orderBy("doc_id").collect()]
-    texts = mixture.drawn_texts(df, drawn)
-    assert texts.columns == df.columns and texts.filter("doc_id is not null").agg(F.sum(F.regexp_count("text", F.lit(mixture.WORD)))).first()[0] == sum(r.words for r in blocks if r.key is not None)
+    mixed = sorted(map(repr, mixture.mixed_documents(df, shards=5).collect()))
+    assert mixed == sorted(map(repr, mixture.mixed_documents(df.repartition(3), shards=5).collect()))
+    taken = mixture.mixed_documents(df, shards=5).collect()
+    assert len(taken) == df.count() and all(sum(r.shard_words) <= 2 * r.size and len(r.shard_words) == 5 for r in taken)
+    for s in range(5):
+        assert sum(r.shard_words[s] for r in taken) == sum(r.words for r in blocks if r.shard == s)
     assert mixture.mixed_documents(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixture.mixed_documents(df.withColumnRenamed("doc_id", "size"), key="size")
+
+
+def test_shard_draws_follow_the_tree(spark):
+    """Blocks that a shard draws of a source are as many as the tree gives it."""
+    rows = [(i, "w " * (100 + 37 * i), "abc"[i % 3]) for i in range(120)]
+    sized = mixture.sized_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    targets = mixture.source_targets(sized)
+    quotas = mixture.source_quotas(mixture.ranked_blocks(sized), targets)
+    want = {(r.source, r.shard): r.until - r.first for r in mixture.shard_quotas(quotas, 7).collect() if r.until > r.first}
+    drawn = mixture.mixture(sized, targets, shards=7)
+    assert {(r.source, r.shard): r["count"] for r in drawn.groupBy("source", "shard").count().collect()} == want
+
+
+def test_shards_are_shuffled_locally(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(rng.choice([5, 600, 1400]))), rng.choice(["a", "b"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixture.sized_documents(df)
+    drawn = mixture.mixture(sized, mixture.source_targets(sized), shards=3).cache()
+    rows = mixture.shard_rows(df, drawn)
+    parts = mixture.shuffled_locally(rows, drawn.count(), 3).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    places = sorted(parts.collect(), key=lambda r: r["at"])
+    for part in {r.part for r in places}:
+        got = [(r.shard, r.spot) for r in places if r.part == part]
+        assert got == sorted(got)
+    assert [r.row.doc_id for r in places] != sorted(r.row.doc_id for r in places)
+    assert len({(r.shard, r.part) for r in places}) == 3
+    wide = mixture.shuffled_locally(rows, 3 * 4 * mixture.SLICE_ROWS, 3).withColumn("part", F.spark_partition_id()).collect()
+    assert len(wide) == len(places) and len({r.part for r in wide}) > 3
+    texts = mixture.drawn_texts(df, drawn, shards=3)
+    assert texts.columns == df.columns and sorted(map(repr, texts.collect())) == sorted(repr(r.row) for r in places)
+    words = sorted(w for r in places for w in r.row.text.split())
+    blocks = {r.doc: r.doc_id for r in df.select("doc_id", mixture._doc(F.col("doc_id"), F.col("source"), F.col("text")).alias("doc")).collect()}
+    full = {r.doc_id: r.text.split() for r in df.collect()}
+    assert words == sorted(w for r in drawn.collect() for w in full[blocks[r.doc]][r.block * 512:(r.block + 1) * 512])
+
+
+def test_mixture_keeps_rows_with_one_key_apart(spark):
+    """Null and repeated keys: each row is sized, drawn and written by itself, no text is cut or empty."""
+    rows = [(None, "a " * 900, "s1", 1), (None, "b " * 700, "s1", 2), (None, None, "s2", 3), (5, "c " * 2000, "s1", 4), (5, "d e f", "s2", 5),
+            (5, "d e f", "s2", 6), (6, "", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, pass long")
+    mixed = mixture.mixed_documents(df).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in mixed) == [(0, 0), (0, 700), (0, 900), (5, 3), (5, 3), (5, 2000), (6, 0)]
+    assert all(sum(r.shard_words) <= 2 * r.size for r in mixed)
+    sized = mixture.sized_documents(df)
+    drawn = mixture.mixture(sized, mixture.source_targets(sized, share=2.0)).cache()
+    texts = mixture.drawn_texts(df, drawn).collect()
+    words = {}
+    for r in texts:
+        assert r.text
+        for w in r.text.split():
+            words[w, r.doc_id] = words.get((w, r.doc_id), 0) + 1
+    assert words == {("a", None): 1800, ("b", None): 1400, ("c", 5): 4000, ("d", 5): 4, ("e", 5): 4, ("f", 5): 4}
+
+
+def test_copies_are_numbered_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "COPIES", 4)
+    df = spark.createDataFrame([(1, "x y", "s")] * 11 + [(2, "z", None)], "doc_id long, text string, source string")
+    sized = mixture.sized_documents(df)
+    assert sorted((r.key, r.size, r.copy) for r in sized.collect()) == [(1, 2, i) for i in range(11)] + [(2, 1, 0)]
 
 
 def test_shard_quotas_are_hypergeometric(spark):
@@ -204,7 +268,7 @@ def test_pipeline(spark):
         elif name == "mixing":
             size = before.agg(F.sum(F.regexp_count("text", F.lit(mixture.WORD)))).first()[0]
             taken = after.agg(F.sum(F.regexp_count("text", F.lit(mixture.WORD)))).first()[0]
-            assert abs(taken - 1.5 * size) <= 512 * 25
+            assert abs(taken - 1.5 * size) <= 512 * 25 and after.filter("text is null or text = ''").isEmpty()
         if name != "sentencepiece":
             assert after.columns == docs.columns
         before = after
