@@ -77,7 +77,7 @@ class Profile:
         """Distinct non-null counts, remembered between sections."""
         missing = [c for c in columns if c not in self._distinct]
         if missing:
-            self._distinct.update(S.distinct_counts(self.df, missing, self.basic, self.approx))
+            self._distinct.update(S.distinct_counts(self.df, missing, self.approx))
         return {c: self._distinct[c] for c in columns}
 
     @cached_property
