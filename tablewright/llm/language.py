@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.frames import quoted, small_or_not, stored
-from tablewright.llm.mainline import main_text
+from tablewright.llm.mainline import ATTRIBUTE, BLOCK, TOKEN, main_text
 from tablewright.llm.textblocks import mix
 
-# Labelled texts that a fit takes (about, by hash), hash buckets of the character trigrams, and languages at most.
-SAMPLE_ROWS, GRAM_BUCKETS, LANGUAGES = 20_000, 1 << 15, 200
+# Labelled texts that a fit takes (about, by hash), and hash buckets of the character trigrams.
+SAMPLE_ROWS, GRAM_BUCKETS = 20_000, 1 << 15
 # Trigrams of a text that count in full; neighbours depend on each other, so more add no certainty.
 FULL_GRAMS = 60
 # Weight of the level above in the prior of a domain and of a host, and pseudo counts of the tables of evidence.
@@ -23,7 +23,30 @@ DOMAIN_WEIGHT, HOST_WEIGHT, EVIDENCE_WEIGHT = 20.0, 10.0, 1.0
 # Rows of one host that a task of the last join takes.
 SALT_ROWS = 500
 
-_DECLARED = re.compile(r"<html\b[^>]{0,2000}?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b|<meta\b[^>]{0,2000}?content-language[^>]{0,2000}?content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})(?![A-Za-z])")
+
+
+def declared_language(html: str) -> str:
+    """Language code of the html element, else of a content-language in the head; empty if there is none."""
+    found = ""
+    for token in TOKEN.finditer(html):
+        name = (token["name"] or "").lower()
+        if token["close"] or name not in ("html", "meta"):
+            if name in BLOCK and name != "head":
+                break
+            continue
+        values = {}
+        for kind, *value in ATTRIBUTE.findall(token["attributes"]):
+            values.setdefault(kind.lower(), "".join(value))
+        if name == "html":
+            codes = [_CODE.match(values.get(kind, "")) for kind in ("lang", "xml:lang")]
+            code = next((c for c in codes if c), None)
+            if code:
+                return code[1].lower()
+        elif values.get("http-equiv", "").strip().lower() == "content-language" and not found:
+            code = _CODE.match(values.get("content", ""))
+            found = code[1].lower() if code else ""
+    return found
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -44,15 +67,16 @@ class LanguageModel:
 
 
 def fit_languages(texts: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Trigram probabilities of the LANGUAGES most frequent languages, from at most about `sample_rows` labelled texts.
+    """Trigram probabilities of every language in at most about `sample_rows` labelled texts.
 
-    Null labels and texts don't count. Counts are summed by language and bucket; only these sums reach the driver.
+    Null labels and texts don't count. Counts are summed by language and bucket; only these sums reach the driver,
+    a language takes 256 KB.
     """
     known = texts.select(quoted(key).alias("key"), quoted(language).alias("language"), quoted(text).alias("text")).dropna(subset=["language", "text"])
     total = known.count()
     if total > sample_rows:
         known = known.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
-    names = [r[0] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()]
+    names = [r[0] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").collect()]
     place = {name: i for i, name in enumerate(names)}
 
     def run(batches):
@@ -93,8 +117,7 @@ def page_evidence(df: DataFrame, model: LanguageModel, key: str, url: str, html:
                 grams = gram_buckets(main_text(page))
                 if len(grams):
                     values[i] = model.weights[:, grams].sum(axis=1) * min(1.0, FULL_GRAMS / len(grams))
-                found = _DECLARED.search(page or "")
-                declared.append((found[1] or found[2]).lower() if found else "")
+                declared.append(declared_language(page or ""))
                 addresses.append(_address(address))
             shares = np.exp(values - values.max(axis=1, keepdims=True)) if languages else values
             shares = shares / shares.sum(axis=1, keepdims=True) if languages else shares

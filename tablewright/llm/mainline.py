@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from itertools import accumulate
 
@@ -24,12 +25,12 @@ TOKEN = re.compile(
     rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attributes>{_INSIDE})>"
     r"|</?[a-z][^<>]*+>|</[^<>]*+>", re.I | re.S)
 # Every attribute with a value, so that none is looked for in the value of another.
-_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'<>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'<>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
 
 def _labels(attributes: str) -> list[tuple[str, str]]:
     """(name, value) of class, id and role."""
-    return [(kind.lower(), "".join(values)) for kind, *values in _ATTRIBUTE.findall(attributes) if kind.lower() in ("class", "id", "role")]
+    return [(kind.lower(), "".join(values)) for kind, *values in ATTRIBUTE.findall(attributes) if kind.lower() in ("class", "id", "role")]
 
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +51,8 @@ ASIDE_NAMES = frozenset(
 # Beginnings that say what a page lacks or has, and ends that name what surrounds the article too.
 STATES = frozenset("no has with without".split())
 FRAMES = frozenset("layout page site grid".split())
+# What a page has but a form does not.
+PAGE_PARTS = frozenset("nav header footer h1".split())
 
 
 def _aside(name: str, attributes: str, in_zone: bool) -> bool:
@@ -83,10 +86,63 @@ def _zone(name: str, attributes: str) -> str:
     return ""
 
 
-def page_lines(html: str) -> list[tuple[str, int, str, int]]:
-    """(text, characters in links, zone, container) of every line; an element that is no article text leaves WINDOW empty lines."""
+def page_frames(html: str) -> frozenset[int]:
+    """Beginnings of the elements that look like no article text but surround the article: a form around the page, a fixed header.
+
+    These are what surrounds the marked part with the most text, if no marked part with text stands outside of them; in a
+    page without marked parts, a form with a menu, header or first heading in it and any element with a footer in it.
+    """
+    names = Counter()
+    stack, text, last, free = [], 0, 0, False  # name, beginning, text before, chain of such elements around it, marked, has parts of a page
+    marked_best, page_best = (0, None), (0, None)
+
+    def leave(at):
+        nonlocal free, marked_best, page_best
+        while len(stack) > at:
+            name, start, before, chain, marked, parts = stack.pop()
+            names[name] -= 1
+            size = text - before
+            if marked and size:
+                free = free or chain is None
+                marked_best = max(marked_best, (size, chain), key=lambda x: x[0])
+            if chain and chain[0] == start and ("footer" in parts or name == "form" and parts):
+                page_best = max(page_best, (size, chain), key=lambda x: x[0])
+            if stack:
+                stack[-1][5].update(parts)
+                stack[-1][5].update({name} & PAGE_PARTS)
+
+    for token in TOKEN.finditer(html):
+        text += len(html[last:token.start()].strip())
+        last = token.end()
+        name = (token["name"] or "").lower()
+        if name == "h1" and stack and not token["close"]:
+            stack[-1][5].add(name)
+        if name not in NESTED:
+            continue
+        if token["close"]:
+            if names[name]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            continue
+        chain = stack[-1][3] if stack else None
+        if _aside(name, token["attributes"], False):
+            chain = (token.start(), chain)
+        names[name] += 1
+        stack.append((name, token.start(), text, chain, bool(_zone(name, token["attributes"])), set()))
+    text += len(html[last:].strip())
+    leave(0)
+    chain = None if free else marked_best[1] if marked_best[0] else page_best[1]
+    frames = set()
+    while chain:
+        frames.add(chain[0])
+        chain = chain[1]
+    return frozenset(frames)
+
+
+def page_lines(html: str, frames: frozenset[int] = frozenset()) -> list[tuple[str, int, str, int]]:
+    """(text, characters in links, zone, container) of every line; an element that is no article text, and no frame, leaves WINDOW empty lines."""
     lines, parts, links, opened = [], [], 0, 0
     stack, skipping, zones, in_link = [], 0, [], 0
+    names = Counter()  # of the elements on the stack, so that a stray end is not looked for
 
     def end():
         nonlocal links
@@ -99,7 +155,8 @@ def page_lines(html: str) -> list[tuple[str, int, str, int]]:
 
     def leave(at):
         nonlocal skipping
-        for _, aside, zone, _ in stack[at:]:
+        for name, aside, zone, _ in stack[at:]:
+            names[name] -= 1
             skipping -= aside
             if zone:
                 zones.remove(zone)
@@ -131,10 +188,11 @@ def page_lines(html: str) -> list[tuple[str, int, str, int]]:
                 in_link = 1
             if name in VOID or attributes.endswith("/") and name not in NESTED:
                 continue
-            aside = not skipping and _aside(name, attributes, bool(zones))
+            aside = not skipping and token.start() not in frames and _aside(name, attributes, bool(zones))
             if name in NESTED or aside:
                 zone = "" if aside or skipping else _zone(name, attributes)
                 opened += 1
+                names[name] += 1
                 stack.append((name, aside, zone, 0 if name in ("html", "body") else opened))
                 if zone:
                     zones.append(zone)
@@ -146,7 +204,7 @@ def page_lines(html: str) -> list[tuple[str, int, str, int]]:
                 in_link = 0
             if name in BLOCK and not skipping:
                 end()
-            for at in range(len(stack) - 1, -1, -1):
+            for at in range(len(stack) - 1, -1, -1) if names[name] else ():
                 if stack[at][0] == name:
                     if not skipping:
                         end()
@@ -172,12 +230,21 @@ def between_surge_and_dive(sizes: list[int], inside: list[bool], surge: int) ->
     return keep
 
 
+def _lines_and_sizes(html: str, frames: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, str, int]], list[int]]:
+    """Lines and the lengths that windows sum: lines that are mostly links have none."""
+    lines = page_lines(html, frames)
+    return lines, [len(x[0]) if 2 * x[1] < len(x[0]) else 0 for x in lines]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, a block per line."""
     if not html:
         return ""
-    lines = page_lines(html)
-    sizes = [len(x[0]) if 2 * x[1] < len(x[0]) else 0 for x in lines]  # lines that are mostly links have none
+    lines, sizes = _lines_and_sizes(html)
+    if not any(between_surge_and_dive(sizes, [True] * len(sizes), SURGE)):
+        frames = page_frames(html)
+        if frames:
+            lines, sizes = _lines_and_sizes(html, frames)
     tops = {zone: max((sum(s for s, x in zip(sizes[i:i + WINDOW], lines[i:i + WINDOW]) if x[2] == zone) for i in range(len(lines))), default=0)
             for zone in ("article", "main", "")}
     marked = max(tops["article"], tops["main"])
@@ -204,7 +271,8 @@ def main_texts(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     lines. Text lengths are summed over sliding windows of lines; text from a surge back and forth to the next
     empty line, line of links or border of a marked part is kept. Inside of elements marked as article or main part
     a surge needs MARKED_SURGE characters, elsewhere SURGE; lines that are mostly links have no length, but do not
-    end a stretch of an article. What stands in one element with kept text is kept. Character references are decoded, white space inside a line becomes one space.
+    end a stretch of an article. Where a page has no surge of SURGE characters, elements that only look like a form
+    or header but surround the article (`page_frames`) are read again as part of the page. What stands in one element with kept text is kept. Character references are decoded, white space inside a line becomes one space.
     A null or empty page gives an empty text; rows repeat as they are; other columns are not looked at. Memory
     follows the longest page.
     """

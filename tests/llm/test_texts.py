@@ -19,9 +19,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tablewright.llm import pieces, quality
-from tablewright.llm.language import fit_languages, identify_languages
+from tablewright.llm.language import declared_language, fit_languages, identify_languages
 from tablewright.llm.licences import document_licences, fit_licences, scan_licences
-from tablewright.llm.mainline import main_text, main_texts
+from tablewright.llm.mainline import ASIDE_NAMES, main_text, main_texts
 from tablewright.llm.pseudonyms import luhn_sum, pseudonymised
 from tablewright.llm.textblocks import blocks
 from tablewright.llm.toxicity import fit_toxicity, folded, held_out, score_toxicity
@@ -123,6 +123,32 @@ def test_main_text_reads_long_attributes():
         assert time.perf_counter() - start < 20
 
 
+def test_main_text_inside_of_forms_and_wrappers():
+    body = "Once upon a time there was a long paragraph of text that goes on and on about the old harbour of the town, and its people."
+    page = "<nav><a href=/>Home</a></nav>{}<footer>Imprint</footer>"
+    marked, plain = f"<article><h1>T</h1><p>{body}</article>", f"<div class=content><h1>T</h1><p>{body}</div>"
+    for text in (marked, plain):
+        for frame in ("<form id=f>{}</form>", "<div class='site-wrap'>{}</div>", "<form><div class='header-fixed'>{}</div></form>"):
+            assert main_text(frame.format(page.format(text))) == "T\n" + body
+    for name in sorted(ASIDE_NAMES):
+        assert main_text(f"<div class='{name}-fixed'><article><p>{body}</article></div>") == body
+        assert main_text(f"<div class='{name}'><p>{body}</div>") == ""
+    assert main_text(f"<form><p>{body}</form>") == "" and main_text(f"<nav>{body}</nav><footer>{body}</footer>") == ""
+    comments = f"<div id=comments><article><p>{body}</article></div>"
+    assert main_text(f"<main><p>Only short.</main>{comments}") == "Only short."
+    assert main_text(f"<form>{page.format(marked)}<div id=comments><article><p>Nice.</article></div></form>") == "T\n" + body
+    for broken in ("<form><article>x", "<form class=ad><h1>y", "<div class=ad>", "</form><nav>x", "<form><nav>x</div>"):
+        main_text(broken * 20_000)  # ends soon
+
+
+def test_declared_language():
+    cases = {"<!-- <html lang=de> --><html lang=fr>": "fr", "<html data-lang='de' lang='fr'>": "fr", "<html lang='en_US'>": "en",
+             "<html data-x='a>b' lang=\"pt-BR\">": "pt", "<html x='" + "x" * 5000 + "' lang=it>": "it", "": "", "<html xml:lang=cs>": "cs",
+             "<head><meta http-equiv='Content-Language' content='sv'>": "sv", "<meta content='nl' http-equiv=content-language>": "nl",
+             "<html><body><p>x<html lang=de>": "", "<html lang=''><meta name=content-language content=de>": "", "<html lang=english>": ""}
+    assert {page: declared_language(page) for page in cases} == cases
+
+
 def test_main_texts_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>a</p>"), (1, "u", "<article>é x</article>")], "page_id long, url string, html string")
     got = main_texts(df.withColumn("text", F.lit("clash"))).collect()
