@@ -114,11 +114,21 @@ def _(spark, sf):
     return rounded(df.select("event_id", "ratio", "log_value", "twice", "root", "mixed"))
 
 
-@query("derivation_report", "select name, applied from (values " + ", ".join(
-    f"('{p['name']}', {'true' if p['name'] in ('ratio', 'log_value', 'twice', 'root', 'mixed') else 'false'})"
-    for p in PROPOSALS) + ") v(name, applied)")
+APPLIED = ("ratio", "log_value", "twice", "root", "mixed")
+
+
+@query("derivation_report", f"""{source(DIRTY)}, d as (select value, half_null,
+      case when cast(user_id as bigint) % 3 <> 0 then value / (cast(user_id as bigint) % 3) end as ratio from t),
+    v as (select ratio, case when value > 0 then ln(value) end as log_value, ratio * 2 + abs(half_null) as twice,
+      case when value >= 0 then sqrt(value) end as root, case when value > 50 then 1 else 0 end as mixed from d)
+    """ + " union all ".join(f"select '{p['name']}' as name, true as applied, count({p['name']}) as n_values from v" if p["name"] in APPLIED
+                             else f"select '{p['name']}', false, 0" for p in PROPOSALS))
 def _(spark, sf):
-    return X.derive(load(spark, sf, DIRTY), PROPOSALS)[1].select("name", "applied")
+    df, report = X.derive(load(spark, sf, DIRTY), PROPOSALS)
+    names = [p["name"] for p in PROPOSALS if p["name"] in df.columns]
+    counts = df.agg(*[F.count(n).alias(n) for n in names]).select(
+        F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("name", "n"))
+    return report.join(counts, "name", "left").select("name", "applied", F.coalesce("n", F.lit(0)).cast("long").alias("n_values"))
 
 
 @query("arithmetic_features", """select o_orderkey, round(o_totalprice * o_custkey, 4) as product,
