@@ -101,6 +101,68 @@ def test_silhouette_equals_all_pairs(spark, block):
     assert got["n"] == 76 and got["silhouette"] == round(float(np.mean(scores)), 4)
 
 
+def plain_silhouette(x, labels):
+    """Mean score by all pairs; equal clusters are few rows each, so distances are taken row by row."""
+    codes = np.unique(labels, return_inverse=True)[1]
+    sizes, scores = np.bincount(codes), []
+    for i, c in enumerate(codes):
+        sums = np.bincount(codes, weights=np.sqrt(((x - x[i]) ** 2).sum(1)))
+        means = np.where(np.arange(len(sizes)) == c, np.inf, sums / sizes)
+        if sizes[c] == 1:
+            scores.append(0.0)
+            continue
+        a, b = sums[c] / (sizes[c] - 1), means.min()
+        scores.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return round(float(np.mean(scores)), 4)
+
+
+def test_silhouette_of_many_small_clusters(spark):
+    """5,000 clusters of two points: no task holds or returns a row for each point and cluster."""
+    draw = np.random.default_rng(21)
+    centres = draw.uniform(-100, 100, (5000, 2))
+    x = np.vstack([centres + draw.normal(0, 0.3, (5000, 2)), centres + draw.normal(0, 0.3, (5000, 2))])
+    labels = np.tile(np.arange(5000), 2)
+    df = spark.createDataFrame([(float(p), float(q), f"c{c}") for (p, q), c in zip(x, labels)], "x double, y double, cluster string")
+    got = C.silhouette(df, ["x", "y"]).first()
+    assert got["n"] == 10_000 and got["silhouette"] == plain_silhouette(x, labels)
+
+
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_silhouette_of_nested_and_overlapping_clusters(spark, block):
+    """A centre says little here: a ring around a blob, overlapping blobs, one cluster with half of the rows, three columns."""
+    draw = np.random.default_rng(22)
+    turn = draw.uniform(0, 2 * np.pi, 60)
+    x = np.vstack([np.c_[5 * np.cos(turn), 5 * np.sin(turn), np.zeros(60)], draw.normal(0, 0.5, (40, 3)),
+                   draw.normal(1, 1.5, (250, 3)), draw.normal(1.5, 1.5, (100, 3)), np.tile([[7.0, 7.0, 7.0]], (50, 1))])
+    labels = np.repeat([0, 1, 2, 3, 4], [60, 40, 250, 100, 50])
+    df = spark.createDataFrame([(*map(float, p), int(c)) for p, c in zip(x, labels)], "x double, y double, z double, cluster int")
+    assert C.silhouette(df, ["x", "y", "z"], block_rows=block).first()["silhouette"] == plain_silhouette(x, labels)
+
+
+def test_silhouette_bounds_leave_few_clusters(spark):
+    """Far clusters are never visited; with more clusters than a block holds, blocks agree on the best bound."""
+    draw = np.random.default_rng(23)
+    rows = [(100.0 * c + float(e), 0.0, c) for c in range(30) for e in draw.normal(0, 1, 6)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, cluster int")
+    points = df.withColumns({"w": F.lit(1).cast("long"), "pid": F.monotonically_increasing_id()})
+    clusters = df.groupBy(F.col("cluster").alias("other")).agg(
+        F.count("*").alias("size"), F.var_pop("x0").alias("s"), F.avg("x0").alias("x0"), F.avg("x1").alias("x1"))
+    for block in (7, 1000):
+        found = C._candidates(points, clusters, ["x0", "x1"], 50, block).groupBy("pid").agg(
+            F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect()
+        assert len(found) == 180 and all(r["own"] == 1 and 2 <= r["n"] <= 3 for r in found)
+
+
+def test_silhouette_of_odd_tables(spark):
+    schema = "x double, y double, cluster int"
+    assert tuple(C.silhouette(spark.createDataFrame([], schema), ["x", "y"]).first()) == (None, None)
+    one = spark.createDataFrame([(0.0, 0.0, 1), (3.0, 4.0, 1)], schema)
+    assert tuple(C.silhouette(one, ["x", "y"]).first()) == (2, 0.0)
+    missing = spark.createDataFrame([(0.0, 0.0, 1), (0.0, 1.0, 1), (9.0, 0.0, 2), (None, 1.0, 2), (1.0, 1.0, None)], schema)
+    plain = plain_silhouette(np.array([[0.0, 0.0], [0.0, 1.0], [9.0, 0.0]]), np.array([1, 1, 2]))
+    assert tuple(C.silhouette(missing, ["x", "y"]).first()) == (3, plain)
+
+
 def test_kmeans_is_a_fixed_point(spark):
     draw = np.random.default_rng(12)
     x = np.vstack([draw.normal(m, 0.3, (40, 2)) for m in (0, 4, 9)])
