@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewright.functions.session import BROADCAST_ROWS, shared_path
+from tablewright.functions.session import BROADCAST_ROWS, bound_batches, shared_path
+from tablewright.llm.textblocks import released
 
 
 def quoted(name: str) -> Column:
@@ -21,6 +24,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run: Callable, kinds: str) -> DataFrame:
+    """`run` over Arrow batches that are bounded in bytes; workers give memory back after each partition."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(released(run), kinds)
+
+
 # Rows of numbers that are worth a file of their own.
 FILE_ROWS = 500_000
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.session import BROADCAST_ROWS
 from tablewright.llm.components import components
-from tablewright.llm.frames import one_row_per_key, quoted, small_or_not, stored
-from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix, released
+from tablewright.llm.frames import in_batches, one_row_per_key, quoted, small_or_not, stored
+from tablewright.llm.textblocks import ODD, Block, blocks, grams, mix
 
 BANDS, ROWS = 40, 6
 # A pair whose signatures agree in this much less than the threshold is not compared; over five standard errors.
@@ -89,7 +89,7 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     [batch.column(0).slice(first, block.n), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), band_list, mark_list],
                     ["key", "n_shingles", "s1", "s2", "bands", "marks"])
 
-    return df.mapInArrow(released(run), "key long, n_shingles long, s1 long, s2 long, bands array<long>, marks binary")
+    return in_batches(df, run, "key long, n_shingles long, s1 long, s2 long, bands array<long>, marks binary")
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, hashes: int, percent: int) ->
             near = (ma == mb).sum(axis=1) >= needed
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return sided.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return in_batches(sided.select("a", "b", "ma", "mb"), run, "a long, b long")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 keep[i] = 100 * common >= percent * (len(own) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+    return in_batches(_with_texts(pairs, texts), run, "a long, b long")
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64()), pa.array(least, pa.int64()), pa.array(total, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], MEASURED)
 
-    return _with_texts(pairs, texts).mapInArrow(run, MEASURED_KINDS)
+    return in_batches(_with_texts(pairs, texts), run, MEASURED_KINDS)
 
 
 def _unmeasured(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -213,8 +213,7 @@ def _unmeasured(members: DataFrame, texts: DataFrame, size: int, percent: int) -
                     [part.column("a"), part.column("b"), pa.array(np.zeros(block.n, dtype=bool)), pa.array(np.zeros(block.n)), pa.array(least), pa.array(n),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], MEASURED)
 
-    return (members.join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text")
-            .mapInArrow(run, MEASURED_KINDS))
+    return in_batches(members.join(texts.withColumnRenamed("key", "a"), "a").select("a", "b", "text"), run, MEASURED_KINDS)
 
 
 def _differing_alike(measured: DataFrame, percent: int) -> DataFrame:

@@ -13,8 +13,7 @@ import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
-from tablewright.llm.frames import quoted
-from tablewright.llm.textblocks import released
+from tablewright.llm.frames import in_batches, quoted
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -326,7 +325,7 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         encoder.forget()
 
     chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("text"))
-    out = chosen.mapInArrow(released(run), _kinds(df, keep) + "ids array<int>, n_tokens long" + ", round_trip boolean" * check)
+    out = in_batches(chosen, run, _kinds(df, keep) + "ids array<int>, n_tokens long" + ", round_trip boolean" * check)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
@@ -347,5 +346,5 @@ def decode_ids(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n)), "decoded"])
 
     chosen = df.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(ids).cast("array<int>").alias("ids"))
-    out = chosen.mapInArrow(run, _kinds(df, keep) + "decoded string")
+    out = in_batches(chosen, run, _kinds(df, keep) + "decoded string")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

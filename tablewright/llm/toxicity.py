@@ -11,8 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.frames import quoted, stored
-from tablewright.llm.textblocks import released
+from tablewright.llm.frames import in_batches, quoted, stored
 
 # Letters of other scripts that look like Latin ones, digits and signs used in place of letters.
 HOMOGLYPHS = dict(zip("абвгеёзікмнорстухцѕјһԁԛԝαβγεηικνορτυχωɑɡı", "abbreezikmhopctyxucjhdqwabyenikvoptuxwagi"))
@@ -119,7 +118,7 @@ def _count(sample: DataFrame) -> DataFrame:
                     counts.clear()
         yield flush()
 
-    return (sample.select("text", "toxic").mapInArrow(released(run), "entry string, clean long, bad long")
+    return (in_batches(sample.select("text", "toxic"), run, "entry string, clean long, bad long")
             .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")))
 
 
@@ -193,7 +192,7 @@ def _featured(df: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values[:, 0]), pa.array(values[:, 1])], [*keep, "x1", "x2"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return df.select(*keep, "text").mapInArrow(released(run), kinds + "x1 double, x2 double")
+    return in_batches(df.select(*keep, "text"), run, kinds + "x1 double, x2 double")
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
