@@ -71,7 +71,10 @@ def _(spark, sf):
 @query("outliers_flag", f"{source(DIRTY)} select {kept_sql()}, " + ", ".join(
     f"cast(coalesce({z_flag(c)}, false) as int) as is_outlier_{c}" for c in FLAGGED) + " from t")
 def _(spark, sf):
-    return rounded(treated(spark, sf, "flag").select(*KEPT, *[f"is_outlier_{c}" for c in FLAGGED]))
+    # A column without outliers has no flag column; none of its rows is one.
+    df = treated(spark, sf, "flag")
+    flags = [f"is_outlier_{c}" for c in FLAGGED]
+    return rounded(df.select(*KEPT, *[c if c in df.columns else F.lit(0).alias(c) for c in flags]))
 
 
 @query("outliers_keep", f"{source(DIRTY)} select {kept_sql()} from t")

@@ -47,6 +47,21 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == want
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_flags_of_columns_without_outliers(spark, duck, tmp_path, wide):
+    # users far apart leave half_null without outliers; with equal values no column has any
+    value = "(event_id % 10)::double" if wide else "0.0::double"
+    user = "user_id + event_id * 1000" if wide else "event_id"
+    duck.execute(f"""copy (select * replace ({value} as value, ({user})::bigint as user_id) from events)
+        to '{tmp_path}/events.parquet' (format parquet)""")
+    df = entry.queries()["outliers_flag"](spark, str(tmp_path))
+    own = duckdb.connect()
+    own.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    result = own.execute(entry.oracle_sql()["outliers_flag"])
+    want = rows([d[0] for d in result.description], result.fetchall())
+    assert rows(df.columns, df.collect()) == want
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 7
     assert set(entry.oracle_sql()) <= set(entry.queries())
