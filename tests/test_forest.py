@@ -1,5 +1,7 @@
 """Trees and forests against a plain recursive version."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -130,6 +132,50 @@ def test_large_nodes(spark, monkeypatch, classes):
     assert np.std(made) > 0 and abs(drawn.featureImportances.toArray().sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("classes", [0, 3])
+def test_large_models_pass_the_driver_by(spark, monkeypatch, classes):
+    """Trees beyond MODEL_BYTES meet the rows in tasks; the driver never collects them."""
+    x, labels, _ = data(classes)
+    df = frame(spark, x, labels).repartition(3)
+    model = T.Forest(T.TreeRules(trees=5, classes=classes, drawn=True), "id").fit(df)
+    want = {r.id: r.prediction for r in model.transform(df).collect()}
+    monkeypatch.setattr(T, "MODEL_BYTES", 1)
+    monkeypatch.setattr(T, "ASKED_ROWS", 60)
+    monkeypatch.setattr(T.ForestModel, "_votes", None)
+    got = model.transform(df.withColumn("other", F.lit("kept")))
+    assert got.columns == [*df.columns, "other", "prediction"]
+    assert {r.id: r.prediction for r in got.collect()} == pytest.approx(want)
+
+
+def test_models_in_threads(spark, monkeypatch):
+    """A search fits large tables in threads of its own, which have no active session."""
+    monkeypatch.setattr(T, "LOCAL_ROWS", 20)
+    x, labels, _ = data(0)
+    df = frame(spark, x, labels)
+
+    def run(_):
+        model = T.Forest(T.TreeRules(columns="all"), "id").fit(df)
+        return {r.id: r.prediction for r in model.transform(df).collect()}, model.featureImportances.toArray()
+
+    with ThreadPoolExecutor(2) as pool:
+        (one, shares), (two, _) = pool.map(run, range(2))
+    assert one == two == run(0)[0] and abs(shares.sum() - 1) < 1e-9
+
+
+def test_stored_trees_and_blocks():
+    x, labels, weights = data(3)
+    rules = T.TreeRules(classes=3)
+    tree = T.grow(x, labels, weights, rules, np.random.default_rng(0))
+    for features in (x.shape[1], 200):
+        again = T._unpacked(T._packed([(0, 0, tree)], features).to_pylist()[0], 3)
+        assert (again["left"] == tree["left"]).all() and np.allclose(again["value"][T.leaves(again, x)], tree["value"][T.leaves(tree, x)])
+    ids = np.arange(len(x))[::-1].copy()
+    blocks = [T._block(ids[a:b], x.T[:, a:b], labels[a:b]) for a, b in ((0, 70), (70, 71), (71, 150))]
+    table = T.pa.table({c: T.pa.array([b[k] for b in blocks], T.pa.binary()) for k, c in enumerate(("ids", "x", "labels"))})
+    back, columns, y, _ = T._rows(table)
+    assert (back == np.arange(150)).all() and (T._plain(columns, slice(None)) == x[::-1]).all() and (y == labels[::-1]).all()
+
+
 def test_row_weights_are_poisson():
     rules = T.TreeRules(trees=2, drawn=True)
     w = T.row_weights(np.arange(200_000), 1, rules)
