@@ -22,7 +22,7 @@ from tablewright.operators.forest import Forest, ForestModel, TreeRules
 from tablewright.operators.knn import knn_predict
 from tablewright.operators.prep import SEED, column_modes, fit_numeric, split
 from tablewright.operators.profile import Profile
-from tablewright.operators.svm import FourierFeatures, fit_svr, kernel_scale
+from tablewright.operators.svm import KEPT_CELLS, FourierFeatures, SvcModel, fit_svc, fit_svr, kernel_scale
 
 # The deepest tree that Spark's boosting grows.
 OPEN_DEPTH = 30
@@ -192,7 +192,7 @@ class FittedModel:
         if isinstance(self.predictor, KnnModel):
             raise ValueError("a kNN model is its training table; write that table instead")
         self.prep.write().overwrite().save(f"{path}/prep")
-        if isinstance(self.predictor, ForestModel):
+        if isinstance(self.predictor, (ForestModel, SvcModel)):
             self.predictor.save(f"{path}/predictor")
         else:
             self.predictor.write().overwrite().save(f"{path}/predictor")
@@ -209,8 +209,8 @@ class FittedModel:
     @staticmethod
     def load(path: str) -> "FittedModel":
         meta = json.loads(_session().read.text(f"{path}/meta").first()[0])
-        kind = ForestModel if meta["class"] == "ForestModel" else (
-            getattr(classification, meta["class"], None) or getattr(regression, meta["class"]))
+        own = {"ForestModel": ForestModel, "SvcModel": SvcModel}
+        kind = own.get(meta["class"]) or getattr(classification, meta["class"], None) or getattr(regression, meta["class"])
         expand = meta["expand"]
         if expand is not None:
             expand = FourierFeatures(**expand) if "seed" in expand else _polynomial(expand["degree"])
@@ -256,7 +256,12 @@ def fit_model(train: DataFrame, target: str, problem: str, model: str, hparams:
     expand = None
     if model == "SVM" and hparams.get("kernel", "linear") != "linear":
         if hparams["kernel"] == "rbf":
+            rows = slim.count()
             expand = FourierFeatures(len(feature_names(prep)), kernel_scale(slim))
+            if problem == "classification" and rows * expand.size > KEPT_CELLS:
+                predictor = fit_svc(slim, expand, hparams.get("C", 1.0), rows, len(labels))
+                slim.unpersist()
+                return FittedModel(model, problem, prep, predictor, labels, target)
         else:
             expand = _polynomial(3)
         fit_on = expand.transform(slim).withColumn("features", F.col("expanded")).persist()

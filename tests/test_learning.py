@@ -105,6 +105,33 @@ def test_saved_model_predicts_the_same(spark, signal, model, hparams, target):
         rows_of(again.transform(signal).select("id", "prediction"), "id")
 
 
+@pytest.mark.parametrize("target", ["cls", "pair"])
+def test_svc_without_stored_features(spark, signal, monkeypatch, target):
+    """Tables whose kernel features are too many to keep: the same objective as Spark's learner, no expanded column."""
+    df = signal.withColumn("pair", F.when(F.col("cls") == "lo", "lo").otherwise("other"))
+    hparams = {"C": 1.0, "kernel": "rbf"}
+    kept = G.fit_model(df, target, "classification", "SVM", hparams, ["a", "b"])
+    monkeypatch.setattr(G, "KEPT_CELLS", 0)
+    monkeypatch.setattr(FourierFeatures, "transform", None)
+    monkeypatch.setattr(G, "make_estimator", None)
+    anew = G.fit_model(df, target, "classification", "SVM", hparams, ["a", "b"])
+    weights = anew.predictor.weights
+    assert len(weights) == (3 if target == "cls" else 1) == len(getattr(kept.predictor, "models", [0]))
+    rows = anew.prep.transform(df).select("features", target).collect()
+    z = anew.predictor.expand.drawn()(np.array([r["features"].toArray() for r in rows]))
+    label = np.array([anew.labels.index(r[target]) for r in rows])
+
+    def objective(w, b, k):
+        sign = np.where(label == (k if target == "cls" else 1), 1.0, -1.0)
+        return np.maximum(0, 1 - sign * (z @ w + b)).mean() + w @ w / (2 * len(rows))
+    for k, w in enumerate(weights):
+        one = kept.predictor.models[k] if target == "cls" else kept.predictor
+        assert objective(w[1:], w[0], k) <= 1.01 * objective(one.coefficients.toArray(), one.intercept, k)
+    again = G.FittedModel.load(save_model(anew, shared_path(spark, "model")))
+    made = [rows_of(m.transform(df).select("id", "prediction"), "id") for m in (anew, again)]
+    assert made[0] == made[1] and {p for _, p in made[0]} <= set(anew.labels)
+
+
 def test_svr_beats_least_squares_under_gross_errors(spark):
     draw = np.random.default_rng(2)
     x = draw.normal(size=300)
