@@ -62,6 +62,20 @@ def test_exact_splits(classes, limits):
         assert classes or np.allclose(got[used, 0], [labels[used][(x[used] == row).all(axis=1)].mean() for row in x[used]], atol=5)
 
 
+@pytest.mark.parametrize("limits", [{}, {"depth": 3}, {"split_rows": 30, "leaf_rows": 4}])
+@pytest.mark.parametrize("few", [0, 256])
+def test_counted_features_give_the_same_trees(monkeypatch, limits, few):
+    rules = T.TreeRules(**limits)
+    x, labels, weights = data(0)
+    x[:, 2] = np.round(x[:, 2], 3) + np.arange(len(x)) * 1e-6  # no equal scores but for copies of a cut
+    want = T.grow(x, labels, weights, rules, np.random.default_rng(0))
+    monkeypatch.setattr(T, "SORTED_ROWS", 0)
+    monkeypatch.setattr(T, "FEW_VALUES", few)
+    got = T.grow([T.Coded.of(c) for c in x.T], labels, weights, rules, np.random.default_rng(0))
+    used = weights > 0
+    assert np.allclose(got["value"][T.leaves(got, x[used])], want["value"][T.leaves(want, x[used])])
+
+
 def test_odd_tables():
     rules = T.TreeRules(classes=2)
     one = T.grow(np.ones((1, 2)), np.array([1.0]), np.array([1.0]), rules, np.random.default_rng(0))
